@@ -275,11 +275,24 @@ def insert_in_section(text: Column | str, marker: Column, line: Column) -> Colum
     return F.when(start.isNull(), x).otherwise(F.concat(before, new, after))
 
 
+def one_decimal(v: Column) -> Column:
+    """A double with one digit after the point, rounded by its exact binary value.
+
+    Where 20 v rounds to an odd integer, v lies near a tie: the rounding error of 16 v + 4 v tells on which side.
+    """
+    x, y = v * 16, v * 4
+    s = x + y
+    err, t = y - (s - x), ((s - 1) / 2).cast("long")
+    up = (err > 0) | ((err == 0) & (t % 2 == 1))
+    tenths = t + F.when(up, 1).otherwise(0)
+    tied = F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when((s == F.floor(s)) & (F.floor(s) % 2 == 1), tied).otherwise(F.format_string("%.1f", v))
+
+
 def duration(seconds: Column) -> Column:
     """T31."""
-    one = lambda v: F.format_string("%.1f", v)
     s = seconds.cast("double")
-    return F.when(s < 60, F.concat(one(s), F.lit("秒"))).when(s < 3600, F.concat(one(s / 60), F.lit("分钟"))).otherwise(F.concat(one(s / 3600), F.lit("小时")))
+    return F.when(s < 60, F.concat(one_decimal(s), F.lit("秒"))).when(s < 3600, F.concat(one_decimal(s / 60), F.lit("分钟"))).otherwise(F.concat(one_decimal(s / 3600), F.lit("小时")))
 
 
 def html_text(html: Column | str) -> Column:

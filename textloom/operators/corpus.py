@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import text as T
+from textloom.shared import materialize
 
 
 def documents(raw: DataFrame) -> DataFrame:
@@ -228,13 +229,16 @@ def page_title(name: Column, page_type: Column, months: Column, batch: str) -> C
 
 
 def planned(raw: DataFrame, pages: DataFrame | None = None, most: int = 5, source_type: str = "mixed") -> tuple[DataFrame, DataFrame]:
-    """(the first most clusters with their page types and cluster_rank, all members). most is the feature's own cap."""
+    """(the first most clusters with their page types and cluster_rank, their members). most is the feature's own cap.
+
+    Both are tables in the shared folder: what is asked of them again and again doesn't repeat the clustering.
+    """
     members = assign(documents(raw))
-    clusters = cluster_table(members)
-    top = clusters.orderBy(*cluster_order()).limit(most)
-    top = top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*cluster_order())))  # at most `most` rows
-    mine = members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")
-    return top.join(page_types(type_scores(mine, top, pages, source_type)), "cluster_id"), mine
+    top = cluster_table(members).orderBy(*cluster_order()).limit(most)
+    top = materialize(top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*cluster_order()))), "planned")  # at most `most` rows
+    mine = materialize(members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi"), "planned-members")
+    types = page_types(type_scores(mine, top.select("cluster_id", "name", "hints_hit"), pages, source_type))
+    return materialize(top.join(types, "cluster_id"), "planned-types"), mine
 
 
 def section_content(members: DataFrame, types: DataFrame, docs: int = 10, sentences: int = 15, most: int = 3) -> DataFrame:

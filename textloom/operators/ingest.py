@@ -38,7 +38,7 @@ def article_time() -> Column:
 
 def until_filter(articles: DataFrame, until: str) -> DataFrame:
     """articles with a time up to the end of a day (UTC); those without a time go."""
-    return articles.where((article_time() > 0) & (article_time() <= F.unix_timestamp(F.lit(until), F.lit("yyyy-MM-dd")) + 86_399))
+    return articles.where((article_time() > 0) & (article_time() <= F.unix_timestamp(F.lit(until), "yyyy-MM-dd") + 86_399))
 
 
 def since_take_while(articles: DataFrame, since: str, by: str = "account", order: str = "ordinal", newest_first: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def since_take_while(articles: DataFrame, since: str, by: str = "account", order
 
     The first older place is one aggregated row an account, joined back: no window over an account's articles.
     """
-    old = F.coalesce(F.col("update_time").cast("long"), F.lit(0)) < F.unix_timestamp(F.lit(since), F.lit("yyyy-MM-dd"))
+    old = F.coalesce(F.col("update_time").cast("long"), F.lit(0)) < F.unix_timestamp(F.lit(since), "yyyy-MM-dd")
     first = F.max(F.when(old, F.col(order))) if newest_first else F.min(F.when(old, F.col(order)))
     stop = articles.groupBy(by).agg(first.alias("__stop"))
     x = articles.join(stop, articles[by].eqNullSafe(stop[by])).drop(stop[by])

@@ -91,7 +91,9 @@ def topic_bridges(p: DataFrame, least: int = 5) -> DataFrame:
 
 def stale_pages(p: DataFrame, as_of: str, kind: str = "page_type", updated: str = "updated") -> DataFrame:
     """(page_ord, title, months, grade): update after 12 months (later if its kind is settled), check after 6 if it moves."""
-    months = F.floor(F.months_between(F.lit(as_of).cast("timestamp"), F.col(updated)))
+    now, then = F.lit(as_of).cast("timestamp"), F.col(updated)
+    place = lambda t: F.dayofmonth(t) * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60 + F.second(t)
+    months = (F.year(now) - F.year(then)) * 12 + F.month(now) - F.month(then) - F.when(place(now) < place(then), 1).otherwise(0)  # whole months
     moving = F.lit(True)
     for k, (_, m) in CADENCE.items():
         moving = F.when(F.col(kind) == k, F.lit(m)).otherwise(moving)

@@ -204,7 +204,7 @@ def type_scores(source_type: str = "mixed") -> str:
   SELECT m.*, row_number() OVER (PARTITION BY cluster_id ORDER BY title, doc_ord) AS title_rank FROM members m WHERE cluster_id IN (SELECT cluster_id FROM planned)) WHERE title_rank <= 6),
 tagtypes AS (SELECT tag, ptype, count(*) AS n FROM (SELECT unnest(tags) AS tag, CASE WHEN page_type IN ({types}) THEN page_type ELSE 'guide' END AS ptype FROM pages) GROUP BY tag, ptype),
 kw AS ({" UNION ALL ".join(rows)}),
-hb AS (SELECT cluster_id, ptype, least(arg_min(n, rank), 3) AS boost FROM hints JOIN tagtypes ON term = tag WHERE cluster_id IN (SELECT cluster_id FROM planned) GROUP BY cluster_id, ptype),
+hb AS (SELECT cluster_id, ptype, least(arg_min(tagtypes.n, rank), 3) AS boost FROM hints JOIN tagtypes ON term = tag WHERE cluster_id IN (SELECT cluster_id FROM planned) GROUP BY cluster_id, ptype),
 nt AS (SELECT DISTINCT cluster_id, unnest({raw_tokens("name")}) AS tag FROM planned),
 nb AS (SELECT cluster_id, ptype, 2 * count(*) AS boost FROM nt JOIN (SELECT tag, ptype FROM (SELECT *, sum(n) OVER (PARTITION BY tag) AS total FROM tagtypes) WHERE n * 2 >= total) USING (tag) GROUP BY cluster_id, ptype),
 bo AS (SELECT cluster_id, ptype, sum(boost) AS boost FROM (SELECT * FROM hb UNION ALL SELECT * FROM nb) GROUP BY cluster_id, ptype),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import corpus, ingest, links, render
+from textloom.shared import materialize
 
 
 def resolve_task(task: str | None, health_check: bool = False, repair: bool = False) -> str:
@@ -19,11 +20,11 @@ def knowledge_plan(raw: DataFrame, pages: DataFrame, batch: str, today: str, mos
     Scores of cluster-page pairs are made once and serve all of them. The gate keeps old pages from being rewritten, not
     new ones from being made.
     """
-    p = links.with_inbound(links.pages(pages))
+    p = materialize(links.with_inbound(links.pages(pages)), "pages")
     top, members = corpus.planned(raw, p, most, source_type)
     top = top.withColumn("title", corpus.page_title(F.col("name"), F.col("page_type"), F.col("months"), batch))
-    scores = links.cluster_page_scores(top, p)
-    related, back = links.related_candidates(scores), links.backlinks(scores, top, p, "title")
+    scores = materialize(links.cluster_page_scores(top, p), "scores")
+    related, back = links.related_candidates(scores), materialize(links.backlinks(scores, top, p, "title"), "backlinks")
     conflict = links.conflicts(top, members, p)
     gate = links.risk_gate(top, links.backlinks(scores, top, p, "name"), conflict, mode, True, min_score)
     rendered = render.render_pages(top, members, related, batch, today)

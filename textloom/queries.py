@@ -16,7 +16,8 @@ from textloom.functions import html as H
 from textloom.functions import text as T
 from textloom.operators import corpus, ingest, links, render, scout
 from textloom.plans import pipeline
-from textloom.sources import readers
+from textloom.shared import materialize
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -85,7 +86,7 @@ def t4_clean(spark, d):
 
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS n FROM (SELECT {O.normal_token('x')} AS term FROM (SELECT unnest(tokens) AS x FROM raw_docs)) WHERE term <> '' GROUP BY term")
 def t5_normal_tokens(spark, d):
-    return raw(spark, d).select(T.normal_token(F.explode("tokens")).alias("term")) if False else raw(spark, d).select(F.explode("tokens").alias("x")).select(T.normal_token("x").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    return raw(spark, d).select(F.explode("tokens").alias("x")).select(T.normal_token("x").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, unnest({O.tokens('text')}) AS term FROM documents) GROUP BY term")
@@ -250,9 +251,9 @@ def s7_history_files(spark, d):
     return ingest.history_files(_files(spark, d))
 
 
-@query(f"WITH {_FILES} SELECT path, mtime FROM f WHERE {O.like('name', '^.*2024-0.*[.]md$')} QUALIFY row_number() OVER (ORDER BY mtime DESC, path DESC) = 1")
+@query(f"WITH {_FILES} SELECT path, CAST(epoch(mtime) AS BIGINT) AS mtime FROM f WHERE {O.like('name', '^.*2024-0.*[.]md$')} QUALIFY row_number() OVER (ORDER BY f.mtime DESC, path DESC) = 1")
 def s5_latest_file(spark, d):
-    return ingest.latest_file(_files(spark, d), "*2024-0*.md")
+    return ingest.latest_file(_files(spark, d), "*2024-0*.md").select("path", F.unix_timestamp("mtime").alias("mtime"))
 
 
 @query(f"WITH {O.PAGES} SELECT page_type, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY page_type")
@@ -265,11 +266,11 @@ def k3_index_lines(spark, d):
     return links.index_lines(wiki(spark, d))
 
 
-_EXPORT = f"""WITH {ARTICLES}, x AS (SELECT ordinal, account, coalesce(title, '无标题') AS title, coalesce(link, '') AS link, coalesce(nullif(content_markdown, ''), nullif(content_text, ''), nullif(content, '')) AS content, to_timestamp(coalesce(create_time, 0)) AT TIME ZONE 'UTC' AS at FROM a),
-y AS (SELECT *, {O.file_name("account")} || '/' || strftime(at, '%Y-%m') AS folder, strftime(at, '%Y-%m-%d') || '_' || {O.file_name("title")} AS stem FROM x WHERE content IS NOT NULL),
+_EXPORT = f"""WITH {ARTICLES}, x AS (SELECT ordinal, account, coalesce(title, '无标题') AS title, coalesce(link, '') AS link, coalesce(nullif(content_markdown, ''), nullif(content_text, ''), nullif(content, '')) AS content, to_timestamp(coalesce(create_time, 0)) AT TIME ZONE 'UTC' AS ts FROM a),
+y AS (SELECT *, {O.file_name("account")} || '/' || strftime(ts, '%Y-%m') AS folder, strftime(ts, '%Y-%m-%d') || '_' || {O.file_name("title")} AS stem FROM x WHERE content IS NOT NULL),
 z AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY ordinal) - 1 AS k FROM y)
 SELECT ordinal, folder, stem || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.md' AS file_name,
- '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'date: ' || strftime(at, '%Y-%m-%d %H:%M:%S') || chr(10) || 'source: ' || link || chr(10) || 'account: ' || coalesce(account, '') || chr(10) || '---' || chr(10) || chr(10) || content || chr(10) AS markdown FROM z"""
+ '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'date: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || 'source: ' || link || chr(10) || 'account: ' || coalesce(account, '') || chr(10) || '---' || chr(10) || chr(10) || content || chr(10) AS markdown FROM z"""
 
 
 @query(_EXPORT)
@@ -295,9 +296,9 @@ def f1_keywords(spark, d):
 _TIME = "coalesce(nullif(update_time, 0), nullif(create_time, 0))"
 
 
-@query(f"WITH {ARTICLES} SELECT ordinal, CAST({_TIME} AS BIGINT) AS at FROM a WHERE {_TIME} > 0 AND {_TIME} <= epoch(TIMESTAMP '2024-01-31') + 86399")
+@query(f"WITH {ARTICLES} SELECT ordinal, CAST({_TIME} AS BIGINT) AS ts FROM a WHERE {_TIME} > 0 AND {_TIME} <= epoch(TIMESTAMP '2024-01-31') + 86399")
 def f2_until(spark, d):
-    return ingest.until_filter(articles(spark, d), "2024-01-31").select("ordinal", ingest.article_time().alias("at"))
+    return ingest.until_filter(articles(spark, d), "2024-01-31").select("ordinal", ingest.article_time().alias("ts"))
 
 
 @query(f"WITH {ARTICLES}, s AS (SELECT account, min(ordinal) AS stop FROM a WHERE coalesce(update_time, 0) < epoch(TIMESTAMP '2022-12-01') GROUP BY account) SELECT a.ordinal, a.account FROM a LEFT JOIN s ON a.account IS NOT DISTINCT FROM s.account WHERE stop IS NULL OR ordinal < stop")
@@ -360,11 +361,11 @@ def w1_since(spark, d):
     return ingest.since_dates(table(spark, d, "articles").select("account").distinct(), table(spark, d, "ingest_state"), AS_OF)
 
 
-_RUNS = "r AS (SELECT account, batch_no % 5 <> 0 AS ok, max(crawled_at) AS at, 'batch_' || batch_no AS dir, count(DISTINCT ordinal) AS n, 'reason ' || batch_no AS reason FROM articles WHERE account IS NOT NULL GROUP BY account, batch_no)"
+_RUNS = "r AS (SELECT account, batch_no % 5 <> 0 AS ok, max(crawled_at) AS ts, 'batch_' || batch_no AS dir, count(DISTINCT ordinal) AS n, 'reason ' || batch_no AS reason FROM articles WHERE account IS NOT NULL GROUP BY account, batch_no)"
 
 
 @query(
-    f"""WITH {_RUNS}, d AS (SELECT account, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS s, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS f, sum(CASE WHEN ok THEN n ELSE 0 END) AS n, arg_max(dir, (at, dir)) FILTER (WHERE ok) AS dir, arg_max(reason, (at, reason)) FILTER (WHERE NOT ok) AS reason FROM r GROUP BY account)
+    f"""WITH {_RUNS}, d AS (SELECT account, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS s, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS f, sum(CASE WHEN ok THEN n ELSE 0 END) AS n, arg_max(dir, (ts, dir)) FILTER (WHERE ok) AS dir, arg_max(reason, (ts, reason)) FILTER (WHERE NOT ok) AS reason FROM r GROUP BY account)
 SELECT account, coalesce(d.dir, last_batch_dir) AS last_batch_dir, CAST(coalesce(total_articles_ever, 0) + coalesce(n, 0) AS BIGINT) AS total_articles_ever, CAST(coalesce(success_count, 0) + coalesce(s, 0) AS BIGINT) AS success_count,
  CAST(coalesce(failure_count, 0) + coalesce(f, 0) AS BIGINT) AS failure_count, coalesce(d.reason, last_failure_reason) AS last_failure_reason FROM ingest_state FULL JOIN d USING (account)"""
 )
@@ -505,10 +506,10 @@ def t33_page_titles(spark, d):
 
 
 def _section_sql() -> str:
-    tests = " UNION ALL ".join(f"SELECT cluster_id, {O.q(s)} AS section, title_rank, pos, sentence FROM ks WHERE pt = {O.q(t)} AND {O.like('sentence', O.any_of(ws))}" for t, sec in K.SECTION_KEYWORDS.items() for s, ws in sec.items())
+    tests = " UNION ALL ".join(f"SELECT cluster_id, {O.q(s)} AS section, title_rank, pos, sentence FROM sk WHERE pt = {O.q(t)} AND {O.like('sentence', O.any_of(ws))}" for t, sec in K.SECTION_KEYWORDS.items() for s, ws in sec.items())
     return f"""WITH {O.CLUSTERS}, {O.PAGES}, {O.type_scores()},
 t10 AS (SELECT * FROM (SELECT m.cluster_id, candidates[1] AS pt, coalesce(nullif(text, ''), preview) AS x, row_number() OVER (PARTITION BY m.cluster_id ORDER BY title, doc_ord) AS title_rank FROM members m JOIN ptypes USING (cluster_id)) WHERE title_rank <= 10),
-ks AS ({O.key_sentences("t10", "cluster_id, pt, title_rank", "x", 15)}),
+sk AS ({O.key_sentences("t10", "cluster_id, pt, title_rank", "x", 15)}),
 one AS (SELECT cluster_id, section, sentence, min((title_rank, pos)) AS first FROM ({tests}) GROUP BY cluster_id, section, sentence)
 SELECT cluster_id, section, CAST(rank AS BIGINT) AS rank, sentence FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, section ORDER BY first) AS rank FROM one) WHERE rank <= 3"""
 
@@ -587,9 +588,9 @@ _SCORES = f"WITH {O.scores()}"
 
 
 def _scored(spark, d):
-    p = links.with_inbound(wiki(spark, d))
+    p = materialize(links.with_inbound(wiki(spark, d)), "pages")
     top, members = corpus.planned(raw(spark, d), p)
-    return links.cluster_page_scores(top, p), top, members, p
+    return materialize(links.cluster_page_scores(top, p), "scores"), top, members, p
 
 
 @query(f"{_SCORES} SELECT cluster_id, page_ord, CAST(score AS BIGINT) AS score, CASE WHEN score >= 12 THEN 'strong' WHEN score >= 8 THEN 'medium' ELSE 'weak' END AS strength FROM scores")
@@ -742,13 +743,12 @@ def x5_topic_bridges(spark, d):
     return scout.topic_bridges(wiki(spark, d), 2)
 
 
-@query(
-    "WITH x AS (SELECT doc_ord, modified_at, date_diff('month', date_trunc('month', modified_at), DATE '2025-06-01') AS m FROM raw_docs) SELECT CAST(doc_ord AS BIGINT) AS page_ord, CAST(CASE WHEN day(modified_at) = 1 AND modified_at > date_trunc('day', modified_at) THEN m WHEN modified_at = date_trunc('month', modified_at) THEN m ELSE m - 1 END AS BIGINT) AS months FROM x WHERE m >= 8"
-    if False
-    else None
-)
+_MONTHS = "(2025 - year(modified_at)) * 12 + 6 - month(modified_at) - CASE WHEN modified_at > date_trunc('month', modified_at) THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT * FROM (SELECT CAST(doc_ord AS BIGINT) AS page_ord, coalesce(title, '') AS title, CAST({_MONTHS} AS BIGINT) AS months, CASE WHEN {_MONTHS} >= 12 THEN 'update' WHEN {_MONTHS} >= 6 THEN 'check' END AS grade FROM raw_docs) WHERE grade IS NOT NULL")
 def x6_stale(spark, d):
-    p = raw(spark, d).select(F.col("doc_ord").alias("page_ord"), "title", F.lit("paper").alias("page_type"), F.col("modified_at").alias("updated"))
+    p = raw(spark, d).select(F.col("doc_ord").alias("page_ord"), F.coalesce("title", F.lit("")).alias("title"), F.lit("paper").alias("page_type"), F.col("modified_at").alias("updated"))
     return scout.stale_pages(p, AS_OF)
 
 
@@ -783,7 +783,7 @@ def x12_source_grades(spark, d):
     return scout.source_grades(articles(spark, d).where("link IS NOT NULL").select(F.trim("link").alias("url"))).groupBy("host", "grade").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_ord FROM raw_docs WHERE trim(coalesce(title, '')) = '' OR trim(coalesce(title_key, '')) = '' OR trim(coalesce(preview, '')) = ''" if False else None)
+@query()
 def x14_incomplete_cards(spark, d):
     c = scout.scored(scout.candidates(wiki(spark, d)))
     cards = c.select("topic", F.col("pattern").alias("type"), "priority", F.when(F.col("refs") > 0, F.col("refs").cast("string")).alias("evidence"), F.lit("arxiv.org").alias("sources"), F.when(F.col("urgency") > 1, F.lit("review")).alias("next_step"))
@@ -803,4 +803,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-__all__ = ["entry", "oracle_sql", "queries", "readers"]
+__all__ = ["entry", "oracle_sql", "queries"]
