@@ -1,52 +1,17 @@
-"""Spark helpers of this subpackage: tables in the shared folder, size-checked broadcasts."""
+"""Spark helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: A side is broadcast only if it has been written and measured to be under this many bytes (in rows x row bytes).
-BROADCAST_BYTES = 8_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if d:
-        return d.rstrip("/")
-    jdir = sc._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    d = tempfile.mkdtemp(prefix="textloom-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as a Parquet table into the shared folder and reads it back: lineage ends, executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit; else as it is, for a shuffle join.
-
-    df should be materialised: it is counted.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+from textloom.shared import materialize, maybe_broadcast, shared_dir
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch; empty batches are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,7 +21,4 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """df over at least as many tasks as the session has cores, by a hash of cols: a single small file would else be one task."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *[F.col(c) for c in cols])
+__all__ = ["map_arrow", "materialize", "maybe_broadcast", "shared_dir"]
