@@ -282,7 +282,9 @@ def test_standing_lines_against_brute_force(spark, monkeypatch):
         if x.id is not None and text[x.id] is not None:
             gone = set(x.line_nos)
             assert x.body == "\n".join(s for k, s in enumerate(text[x.id].split("\n")) if k not in gone)
-    monkeypatch.setattr("textloom.shared.BROADCAST_BYTES", 0)
+    monkeypatch.setattr(boilerplate, "BROADCAST_BYTES", -1)
+    again = boilerplate.mark_lines(df.repartition(6)).collect()
+    assert {(x.id, k) for x in again for k in x.line_nos} == want
     assert boilerplate.mark_lines(df.where("false")).count() == 0
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _bitmap as B
-from textloom.llm._spark import materialize, maybe_broadcast
+from textloom.llm._spark import materialize
 from textloom.llm._text import code_points, mix64, slices, tables
+from textloom.shared import BROADCAST_BYTES
 
 #: 4,096 identifiers a bitmap chunk: a hot source spreads over many chunks. Postings a map task holds before writing.
 BITS, FLUSH = 12, 1_500_000
@@ -133,9 +134,9 @@ def mark_lines(df: DataFrame, id_col: str = "ordinal", source: str = "account",
     # at most 1 / SHARE x the mean lines of a document per source and chunk
     lists = hot.groupBy("src", "chunk").agg(F.collect_list(F.struct("line", "bitmap")).alias("lines"))
     lists = materialize(lists, "p4-lists")
-    row_bytes = 64 + 64 * 100
+    size = hot.agg(F.sum(F.length("bitmap") + 64)).first()[0] or 0  # bytes, measured
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(source)).alias("src"), F.col(source).isNotNull().alias("known"), F.col(text).cast("string").alias("text")).withColumn("chunk", F.shiftright("id", BITS))
-    joined = rows.join(maybe_broadcast(lists, row_bytes), ["src", "chunk"], "left").select("id", "src", "text", F.when(F.col("known"), F.col("lines")).alias("lines"))
+    joined = rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["src", "chunk"], "left").select("id", "src", "text", F.when(F.col("known"), F.col("lines")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << BITS) - 1
