@@ -18,7 +18,7 @@ from textloom.shared import materialize
 
 
 def documents(raw: DataFrame) -> DataFrame:
-    """(doc_ord, rel_path, title, month, preview, text, title_key, tags, tokens) from stored documents, one row an id."""
+    """(doc_ord, rel_path, title, month, preview, text, title_key, tags, tokens) from stored documents; a repeated row counts as often as it comes."""
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return raw.where(F.col("doc_ord").isNotNull()).select(
         F.col("doc_ord").cast("long").alias("doc_ord"), s("rel_path").alias("rel_path"), s("title").alias("title"), F.coalesce("month", F.lit(K.UNKNOWN)).alias("month"),
@@ -231,12 +231,16 @@ def page_title(name: Column, page_type: Column, months: Column, batch: str) -> C
 def planned(raw: DataFrame, pages: DataFrame | None = None, most: int = 5, source_type: str = "mixed") -> tuple[DataFrame, DataFrame]:
     """(the first most clusters with their page types and cluster_rank, their members). most is the feature's own cap.
 
-    Both are tables in the shared folder: what is asked of them again and again doesn't repeat the clustering.
+    Tables in the shared folder keep later questions from repeating the clustering. Texts and previews stay out of it;
+    only the planned clusters' documents get them back.
     """
-    members = assign(documents(raw))
+    docs = documents(raw)
+    members = materialize(assign(docs.drop("text", "preview")), "members")
     top = cluster_table(members).orderBy(*cluster_order()).limit(most)
     top = materialize(top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*cluster_order()))), "planned")  # at most `most` rows
-    mine = materialize(members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi"), "planned-members")
+    mine = members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")
+    texts = docs.select("doc_ord", "preview", "text").join(mine.select("doc_ord").distinct(), "doc_ord", "left_semi").dropDuplicates(["doc_ord"])
+    mine = materialize(mine.join(texts, "doc_ord"), "planned-members")
     types = page_types(type_scores(mine, top.select("cluster_id", "name", "hints_hit"), pages, source_type))
     return materialize(top.join(types, "cluster_id"), "planned-types"), mine
 

@@ -154,7 +154,7 @@ def crawl_totals(articles: DataFrame) -> DataFrame:
 def markdown_export(articles: DataFrame) -> DataFrame:
     """(ordinal, folder, file_name, markdown) of every article with a body; equal names in a folder get a number by ordinal.
 
-    An article without a creation time goes under 1970-01 (the reference takes the clock; here results don't depend on it).
+    An article without a creation time goes under 1970-01; results do not depend on the clock.
     """
     x = articles.withColumn("content", F.coalesce(*[T.blank_to_null(F.col(c)) for c in ("content_markdown", "content_text", "content")])).where(F.col("content").isNotNull())
     at = F.timestamp_seconds(F.coalesce(F.col("create_time").cast("long"), F.lit(0)))

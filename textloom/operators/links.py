@@ -265,8 +265,11 @@ def repair_plan(p: DataFrame, issues: DataFrame, mode: str = "safe-apply", most_
     last = page_map(p).withColumnRenamed("title", "page_title").withColumnRenamed("page_ord", "last_ord")
 
     def some(kind: str, action: str, most: int | None) -> DataFrame:
-        x = issues.where(F.col("kind") == kind).withColumn("seq", F.row_number().over(Window.orderBy("page_ord", "target_title")))
-        x = x if most is None else x.where(F.col("seq") <= most)
+        x = issues.where(F.col("kind") == kind)
+        if most is None:
+            x = x.withColumn("seq", F.lit(1))
+        else:  # a top-k first, so that only `most` rows are numbered in one task
+            x = x.orderBy("page_ord", "target_title").limit(most).withColumn("seq", F.row_number().over(Window.orderBy("page_ord", "target_title")))
         return x.join(last, "page_title").select("seq", F.lit(action).alias("kind"), F.col("last_ord").alias("page_ord"), "page_title", "target_title")
 
     body = some("body_missing", "add_body", most_body)
@@ -275,7 +278,7 @@ def repair_plan(p: DataFrame, issues: DataFrame, mode: str = "safe-apply", most_
     if mode == "full-apply":
         bridges = island_bridges(p, issues)
         out = out.unionByName(some("missing_type_field", "set_type", None))
-        out = out.unionByName(bridges.select(F.row_number().over(Window.orderBy("page_ord")).alias("seq"), F.lit("bridge").alias("kind"), "page_ord", F.col("title").alias("page_title"), F.col("bridge").alias("target_title")))
+        out = out.unionByName(bridges.select(F.lit(1).alias("seq"), F.lit("bridge").alias("kind"), "page_ord", F.col("title").alias("page_title"), F.col("bridge").alias("target_title")))
     return out
 
 

@@ -66,7 +66,7 @@ def index_text(types: DataFrame, lines: DataFrame, raw_dir: str, today: str) ->
     """K3: the index file; types and lines as from the link operators. A text for people: it is as long as the page list."""
     t = sorted(types.collect(), key=lambda r: r["page_type"])
     rows = [r["line"] for r in lines.orderBy("file_name").toLocalIterator()]
-    head = ["# Wiki-KB 全局索引", "", "> 所有知识页面的目录。每次 INGEST 后自动更新。", "", "---", "", "## 统计", "", "| 类型 | 数量 |", "|------|------|", f"| 总页面数 | {sum(r['n'] for r in t)} |", *[f"| {r['page_type']} | {r['n']} |" for r in t]]
+    head = ["# 全局索引", "", "> 所有知识页面的目录。每次 INGEST 后自动更新。", "", "---", "", "## 统计", "", "| 类型 | 数量 |", "|------|------|", f"| 总页面数 | {sum(r['n'] for r in t)} |", *[f"| {r['page_type']} | {r['n']} |" for r in t]]
     return "\n".join(head) + "\n\n---\n\n## 页面列表\n\n" + "\n".join(rows) + f"\n\n---\n\n## 原始资料批次\n\n- `{raw_dir}/`\n\n---\n\n*最后更新: {today}*\n"
 
 
