@@ -177,13 +177,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: in
     lengths = materialize(token_counts(df, id_col, text, tokenizer), "p6-tokens")
     pieces = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int")))).withColumn("n", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BUCKETS)))
-    by_bucket = pieces.groupBy("n", "bucket").agg(F.count("*").alias("c"))  # at most capacity x RANK_BUCKETS rows
-    sizes = {(r["n"], r["bucket"]): r["c"] for r in by_bucket.collect()}
+    by_bucket = pieces.groupBy("n", "bucket").agg(F.count("*").alias("c"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    first: list[tuple[int, int, int]] = []
-    for (n, bucket), c in sorted(sizes.items()):
-        first.append((n, bucket, int(counts[n])))
-        counts[n] += c
+    for r in by_bucket.groupBy("n").agg(F.sum("c").alias("c")).collect():  # at most capacity rows
+        counts[r.n] = r.c
     plan = plan_packing(counts, capacity)
     # ranges (length, from rank, to rank) -> (first container, items of the length in it, position of the first)
     ranges, seen, container = [], np.zeros(capacity + 1, dtype=np.int64), 0
@@ -198,9 +195,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: in
     schema = "n long, lo long, hi long, container long, k int, place int, base long"
     # plan entries cover disjoint rank ranges; their number depends on the capacity alone
     plan_df = F.broadcast(spark.createDataFrame(ranges, schema))
-    first_df = F.broadcast(spark.createDataFrame(first, "n long, bucket long, before long"))
+    earlier = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most RANK_BUCKETS rows a length
+    before = by_bucket.select("n", "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("id", "piece")) - 1
-    ranked = pieces.withColumn("r", rank).join(first_df, ["n", "bucket"]).withColumn("rank", F.col("r") + F.col("before"))
+    ranked = pieces.withColumn("r", rank).join(before, ["n", "bucket"]).withColumn("rank", F.col("r") + F.col("before"))
     placed = ranked.join(plan_df.withColumnRenamed("n", "pn"), (F.col("n") == F.col("pn")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     within = F.col("rank") - F.col("lo")
     nth = within % F.col("k")
