@@ -102,10 +102,8 @@ NOISE_LINE = (
     rf"^{_H}*(?:(?:{'|'.join(NOISE_FIELDS)}):[^\n]*|\*\*raw sources\*\*:?{_H}*|raw{_H}+sources{_H}*:?{_H}*|https?://{NOT_WS}+{_H}*"
     rf"|\[[^\]\n]+\]\([^\)\n]+\){_H}*|[-*]{_H}*`[^`\n]+`{_H}*)$"
 )
-NOISE_TOKEN = (
-    rf"^(?:{'|'.join((*STOPWORDS, *NOISE_TOKENS, *NOISE_WORDS))}|.?|\pN+|[0-9]{{4}}[-/]?[0-9]{{1,2}}(?:[-/]?[0-9]{{1,2}})?"
-    rf"|.{{0,10}}md|.{{0,8}}html|.{{0,8}}json|[\x{{4E00}}-\x{{9FFF}}]{{7,}})$"
-)
+NOISE_SET = (*STOPWORDS, *NOISE_TOKENS, *NOISE_WORDS)
+NOISE_SHAPE = r"^(?:.?|\pN+|[0-9]{4}[-/]?[0-9]{1,2}(?:[-/]?[0-9]{1,2})?|.{0,10}md|.{0,8}html|.{0,8}json|[\x{4E00}-\x{9FFF}]{7,})$"
 NOISE_PART = "|".join(NOISE_INSIDE)
 NOISE_HEAD = rf"^(?:{'|'.join(SENTENCE_HEADS)})"
 FIELD_HEAD = rf"^(?:{'|'.join(SENTENCE_FIELDS)})"

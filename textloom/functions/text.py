@@ -82,7 +82,7 @@ def normal_token(x: Column | str) -> Column:
 
 def is_noise_token(x: Column) -> Column:
     """T7."""
-    return F.regexp_like(x, F.lit(f"(?s){K.NOISE_TOKEN}")) | ((F.length(x) >= 5) & F.regexp_like(x, F.lit(K.NOISE_PART)))
+    return x.isin(*K.NOISE_SET) | F.regexp_like(x, F.lit(f"(?s){K.NOISE_SHAPE}")) | ((F.length(x) >= 5) & F.regexp_like(x, F.lit(K.NOISE_PART)))
 
 
 def raw_tokens(x: Column | str) -> Column:

@@ -70,7 +70,7 @@ def normal_token(x: str) -> str:
 
 
 def noise_token(x: str) -> str:
-    return f"({like(x, '(?s)' + K.NOISE_TOKEN)} OR (length({x}) >= 5 AND {like(x, K.NOISE_PART)}))"
+    return f"({x} IN ({', '.join(q(w) for w in K.NOISE_SET)}) OR {like(x, '(?s)' + K.NOISE_SHAPE)} OR (length({x}) >= 5 AND {like(x, K.NOISE_PART)}))"
 
 
 def raw_tokens(x: str) -> str:

@@ -16,7 +16,7 @@ from textloom.functions import html as H
 from textloom.functions import text as T
 from textloom.operators import corpus, ingest, links, render, scout
 from textloom.plans import pipeline
-from textloom.shared import materialize
+from textloom.shared import materialize, spread
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_docs")
+    return spread(table(spark, d, "raw_docs"))
 
 
 def wiki(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def t5_normal_tokens(spark, d):
 
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, unnest({O.tokens('text')}) AS term FROM documents) GROUP BY term")
 def t6_t7_tokens(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("term"))
+    x = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens("text")).alias("term"))
     return x.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 

@@ -38,3 +38,9 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit, else as it is, for a shuffle join. df should be materialised: it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the session has cores: few splits mean little data, which is cheap to move and else read by one core."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
