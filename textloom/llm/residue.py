@@ -46,6 +46,15 @@ PHRASES = {
         "亲爱的", "你好!以下是本期内容", "dear ", "thank you for reading issue", "thank you for reading", "原文链接", "导语", "配图", "正文从这里开始", "section:", "来源", "日期", "标题", "作者", "摘要", "期数", "hello ", "尊敬的",
     ),
 }
+# The words that placeholder Latin is drawn from. Marked words are hardly met elsewhere; the others only count beside them.
+LATIN_MARKS = frozenset(
+    "lorem ipsum dolor amet consectetur consectetuer adipiscing adipisicing elit eiusmod tempor incididunt labore dolore magna aliqua aliquam enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
+    "reprehenderit voluptate velit esse cillum fugiat pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum vestibulum pellentesque curabitur mauris phasellus vivamus sapien tincidunt praesent suspendisse "
+    "ullamcorper malesuada fermentum sollicitudin vulputate condimentum faucibus ultrices posuere cubilia habitant morbi tristique senectus netus egestas volutpat tellus turpis euismod lobortis feugiat dignissim blandit luptatum zzril delenit augue".split()
+)
+LATIN_OTHERS = frozenset("sit sed do ut et ad ex ea in eu non qui id est nulla anim nunc ac at vel nec eget ante mi leo diam justo cras nam donec proin integer aenean maecenas quam orci porta urna".split())
+#: Words and different marked words that a segment of placeholder Latin has at least.
+LATIN_WORDS, LATIN_DIFFERENT = 3, 2
 # Forms of a field that a template engine left unfilled.
 PLACEHOLDER = re.compile(
     r"\{\{\{?[^{}\n]{1,40}\}?\}\}|[$#@]\{[^{}\n]{1,40}\}|<%[=-]?[^%\n]{1,40}%>|\{%[^%\n]{1,40}%\}|__[a-z一-鿿][a-z_一-鿿]{0,30}?__(?:待定)?|@@[a-z_一-鿿]{1,30}@@"
@@ -60,17 +69,20 @@ SEGMENT_SHARE, PAGE_SHARE = 0.6, 0.5
 
 _SPLIT = re.compile(r"\n|(?<=[。!?;])|(?<=[a-z]{2}\.)(?= ?[A-Z一-鿿])")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"(?<![a-z0-9_])[a-z]+(?![a-z0-9_])[.,;:]?")
 _TAIL = re.compile(r"^[#>*\-\s▍|]+")
 _NOTE = re.compile(r"(?:ref|traceback id|trace id|request id|event id|incident id)[ #:]*[0-9a-f]{6,}|(?:错误码|request id|error code|时间)\s*:\s*[\w\-: .]*|nginx/[\d.]*|apache/[\d.]*|http(?: error)? [45]\d\d|\b[45]\d\d\b|\([45]\d\d\)")
 
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """All phrases in one multi-pattern automaton."""
+    """All phrases and marked words in one multi-pattern automaton."""
     a = ahocorasick.Automaton()
     for kind, phrases in PHRASES.items():
         for p in phrases:
             a.add_word(p, (kind, len(p)))
+    for w in LATIN_MARKS:
+        a.add_word(w, ("latin", len(w)))
     a.make_automaton()
     return a
 
@@ -129,6 +141,8 @@ def _segment(s: str, start: int, end: int, hits: list, fields: list) -> tuple[st
     size = len(_SPACE.sub("", body))
     if not size:
         return None, 0
+    if any(k == "latin" for _, _, k in hits):
+        hits = [x for x in hits if x[2] != "latin"] + _latin(s, start, end)
     loose = [(a, b) for a, b in fields if not (a > 0 and s[a - 1] in QUOTES) and not (b < len(s) and s[b : b + 1] in QUOTES and s[b : b + 1])]
     blanks = [x for x in hits if x[2] == "blank"]
     if (loose or blanks) and not MENTION.search(seg):
@@ -141,12 +155,19 @@ def _segment(s: str, start: int, end: int, hits: list, fields: list) -> tuple[st
     spans = [(a, b) for a, b, _ in real] + [(start + m.start(), start + m.end()) for m in _NOTE.finditer(seg)]
     if _covered(s, spans) < SEGMENT_SHARE * size:
         return None, 0
-    by: dict[str, int] = {}
-    for a, b, k in real:
-        by[k] = by.get(k, 0) + b - a
+    by = {k: _covered(s, [(a, b) for a, b, x in real if x == k]) for k in ("error", "script", "filler")}
     return max(by, key=lambda k: by[k]), size
 
 
+def _latin(s: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The words of placeholder Latin in one segment, in any order, as filler; none if there are too few."""
+    words = [(m.start(), m.end(), m.group().rstrip(".,;:")) for m in _WORD.finditer(s, start, end)]
+    words = [x for x in words if x[2] in LATIN_MARKS or x[2] in LATIN_OTHERS]
+    if len(words) < LATIN_WORDS or len({w for _, _, w in words if w in LATIN_MARKS}) < LATIN_DIFFERENT:
+        return []
+    return [(a, b, "filler") for a, b, _ in words]
+
+
 def _covered(s: str, spans: list[tuple[int, int]]) -> int:
     """Characters other than white space in the union of spans."""
     n, at = 0, -1
