@@ -37,12 +37,20 @@ WEAK = (
     "傻逼", "傻比", "煞笔", "白痴", "人渣", "杂种", "废物", "垃圾", "畜生", "贱货", "脑残", "蠢货", "混蛋", "王八蛋", "智障", "狗东西", "窝囊废", "贱人", "狗杂碎", "丑八怪", "败类", "他妈的",
     "moron", "scumbag", "bastard", "loser", "idiot", "imbecile", "clown", "trash", "dumbass", "bitch", "whore", "slut", "retard", "asshole", "vermin", "subhuman", "fucking", "cunt", "faggot",
 )
-# Words of a sentence that speaks to someone; words around a term that is quoted, named or technical.
+# Words of a sentence that speaks to someone; words beside a quotation that name a term instead of using it; compounds that a term is part of.
 ADDRESS = re.compile(r"你|您|楼主|评论里那个|全家|谁家|这种|\byou(?:r|re)?\b|\bur?\b|whoever")
-NAMING = re.compile(r"敏感词|词表|审核|过滤|取证|举报|屏蔽|留言会|moderat|term to hide|lists? [\"“]|word list|blocklist|slur list|性教育|读本|医生|误区|勃起障碍|防治|疾病|癌|cancer|screening|sex ratio|census|museum|博物馆|文书|利用课|垃圾债|垃圾分类|回收|zombie process|naked put|dumb terminal|junk bond|裸卖空|裸K|寄生虫病|kill -9|先 ?kill|滚动")
-QUOTED = re.compile(r"[“\"「『][^”\"」』\n]{0,60}$")
+NAMING = re.compile(r"敏感词|词表|审核|过滤|取证|举报|屏蔽|留言会|moderat|term to hide|lists? [\"“]|word list|blocklist|slur list|性教育|读本|医生|误区|防治|疾病|癌|cancer|screening|census|museum|博物馆|文书")
+TECHNICAL = re.compile(r"(?:废物|垃圾)(?:再?利用|回收|分类|处理|处置|焚烧|填埋|排放|债|邮件|短信|桶|箱|袋|场|站|车)|寄生虫病|性教育|勃起障碍|sex ratio|zombie process|naked put|dumb terminal|junk bond|裸卖空|kill -9|先 ?kill|trash (?:can|bin|collection|folder)")
+#: After a term: a word that makes it one of a list of words. Before a quotation: it is a mere speaker's label, or it speaks to someone in scare quotes.
+LISTED = re.compile(r"(?:、[^,，。、]{1,12}){0,8}(?:等|这类|这种|这个|之类的?|一类|一)(?:敏感)?(?:词|字样|字眼|留言|说法)")
+LABEL = re.compile(r"[\s\-*>#]*(?:(?:网友|用户|楼主|读者|匿名|reader|user|guest)\s*\d*\s*:)?\s*")
+SCARE = re.compile(r"(?:你|您|你们)(?:就?是|真是|这|那|个|种|群|们|才是|简直是|也是|一?个){0,4}$|\byou(?:'re| are)?(?: just)?(?: an?| such an?)? ?$")
+QUOTATION = re.compile(r"“[^“”\n]{1,120}”|「[^「」\n]{1,120}」|『[^『』\n]{1,120}』|‘[^‘’\n]{1,120}’|\"[^\"\n]*\"")
+#: Characters round a term or its quotation in which its context is looked for, never beyond the line.
+WINDOW = 60
 #: Weight of a strong term, of a weak one, of a weak one that addresses someone; a sentence is abusive from THRESHOLD on.
-W_STRONG, W_WEAK, W_ADDRESSED, W_NAMED, THRESHOLD = 1.0, 0.4, 0.75, 0.1, 0.7
+#: A term that is quoted weighs W_QUOTED of it, one named in a quotation or part of a technical compound W_NAMED.
+W_STRONG, W_WEAK, W_ADDRESSED, W_QUOTED, W_NAMED, THRESHOLD = 1.0, 0.4, 0.75, 0.3, 0.1, 0.7
 #: Terms at least this long may differ by one edit.
 FUZZY_FROM = {"han": 5, "latin": 9}
 
@@ -211,6 +219,36 @@ def reduce_batch(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return folded, red, place, cum[off]
 
 
+def _quotation(folded: str, a: int, b: int) -> tuple[int, int] | None:
+    """The quotation that a term at (a, b) stands in: within one line, of at most twice WINDOW characters, with other words in its line."""
+    line = folded.rfind("\n", 0, a) + 1
+    stop = folded.find("\n", b)
+    stop = len(folded) if stop < 0 else stop
+    for m in QUOTATION.finditer(folded, line, stop):  # straight marks pair up from the line's start
+        if m.start() >= a:
+            break
+        if m.end() >= b and m.end() - m.start() <= 2 * WINDOW + 2:
+            before, after = folded[line : m.start()], folded[m.end() : stop]
+            alone = LABEL.fullmatch(before) and not any(c.isalnum() for c in after)
+            return None if alone or SCARE.search(before) else m.span()
+    return None
+
+
+def _factor(folded: str, a: int, b: int) -> float:
+    """Weight of a term at (a, b) by the window round it: 1 if it is used, less if it is quoted, named or technical."""
+    near = max(0, a - 16)
+    if any(m.start() < b and m.end() > a for m in TECHNICAL.finditer(folded, near, b + 16)):
+        return W_NAMED
+    span = _quotation(folded, a, b)
+    if span is None:
+        if not LISTED.match(folded, b):
+            return 1.0
+        span = (a, b)
+    before = _SENTENCE.split(folded[max(0, span[0] - WINDOW) : span[0]])[-1]
+    after = _SENTENCE.split(folded[span[1] : span[1] + WINDOW])[0]
+    return W_NAMED if NAMING.search(before + folded[span[0]]) or NAMING.search(after) else W_QUOTED
+
+
 def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tuple[float, str]]:
     """(score, category) of the sentences with terms; found: (term, start, end) in folded."""
     lex = lexicon()
@@ -222,26 +260,25 @@ def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tupl
     for k, terms in by.items():
         start, end = cuts[k], cuts[min(k + 1, len(cuts) - 1)]
         sentence = folded[start:end]
-        named = NAMING.search(sentence) is not None
-        strong: dict[int, str] = {}
-        weak = False
+        strong: dict[int, float] = {}
+        weak = 0.0
         score = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
         for t, a, b in terms:
-            word, category, is_strong = lex.terms[t]
+            word, _, is_strong = lex.terms[t]
             if word.isascii() and ((a > 0 and "a" <= folded[a - 1] <= "z") or (b < len(folded) and "a" <= folded[b : b + 1] <= "z")):
                 if not is_strong or len(word) < 9:
                     continue  # inside a longer word
-            factor = W_NAMED if named or (QUOTED.search(folded[max(start, a - 60) : a]) and named) else 1.0
+            factor = _factor(folded, a, b)
             if is_strong:
-                if t not in strong:
-                    strong[t] = category
-                    score[category] += W_STRONG * factor
-            elif not weak:
-                weak = True
-                score["abusive"] += (W_ADDRESSED if ADDRESS.search(sentence) else W_WEAK) * factor
+                strong[t] = max(factor, strong.get(t, 0.0))
+            else:
+                weak = max(weak, factor)
+        for t, factor in strong.items():
+            score[lex.terms[t][1]] += W_STRONG * factor
+        score["abusive"] += (W_ADDRESSED if ADDRESS.search(sentence) else W_WEAK) * weak
         best = max(score, key=lambda c: score[c])
         if strong:
-            best = max(set(strong.values()), key=lambda c: score[c])
+            best = max({lex.terms[t][1] for t in strong}, key=lambda c: score[c])
         if sum(score.values()) > 0:
             out.append((sum(score.values()), best))
     return out
