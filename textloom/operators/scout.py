@@ -123,21 +123,28 @@ def queue(candidates: DataFrame, most: int = 10) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def candidates(p: DataFrame) -> DataFrame:
-    """X1-X5 as (pattern, scan, topic, refs): one row a gap; scan is the pattern's place in the scan (X7); refs weighs urgency."""
+def candidates(p: DataFrame, as_of: str | None = None, updated: str = "updated") -> DataFrame:
+    """X1-X6 as (pattern, scan, topic, refs): one row a gap; scan is the pattern's place in the scan (X7); refs weighs urgency.
+
+    Stale pages need a day and a column of dates; without either there are none.
+    """
 
     def some(df: DataFrame, pattern: str, topic: Column, refs: Column) -> DataFrame:
         return df.select(F.lit(pattern).alias("pattern"), F.lit(SCAN_ORDER.index(pattern) + 1).alias("scan"), topic.alias("topic"), refs.cast("long").alias("refs"))
 
     inb = inbound(edges(p)).withColumnRenamed("target", "title")
     thin = thin_pages(p).join(inb, "title", "left")
-    return (
+    found = (
         some(thin, "thin", F.col("title"), F.coalesce("inbound", F.lit(0)))
         .unionByName(some(broken_concepts(p), "broken_concept", F.col("target"), F.col("refs")))
         .unionByName(some(overweight_pages(p), "overweight", F.col("title"), F.col("sections")))
         .unionByName(some(cluster_gaps(p), "cluster_gap", F.col("tag"), F.col("pages")))
         .unionByName(some(topic_bridges(p), "cross_topic", F.concat_ws(" / ", "tag_a", "tag_b"), F.col("together")))
     )
+    if as_of is None or updated not in p.columns:
+        return found
+    stale = stale_pages(p, as_of, updated=updated).join(inb, "title", "left")
+    return found.unionByName(some(stale, "stale", F.col("title"), F.coalesce("inbound", F.lit(0))))
 
 
 def scored(c: DataFrame) -> DataFrame:

@@ -770,6 +770,21 @@ def x10_x11_o11_queue(spark, d):
     return scout.queue(scout.scored(c)).select("pattern", "topic", n(F.col("place")).alias("place"))
 
 
+@query()
+def x10_x11_o11_queue_all(spark, d):
+    """The queue of all patterns over the wiki pages; these have no date, so none is stale."""
+    c = scout.candidates(wiki(spark, d), AS_OF)
+    return scout.queue(scout.scored(c)).select("pattern", "topic", n(F.col("place")).alias("place"))
+
+
+@query()
+def x6_x10_x11_o11_queue_docs(spark, d):
+    """The queue of all patterns, stale ones included, over the stored documents as pages; they hold no related names."""
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
+    p = raw(spark, d).select(F.col("doc_ord").alias("page_ord"), s("title").alias("title"), F.lit("paper").alias("page_type"), T.clean_array("tags").alias("tags"), F.array().cast("array<string>").alias("related"), s("text").alias("text"), F.col("modified_at").alias("updated"))
+    return scout.queue(scout.scored(scout.candidates(p, AS_OF))).select("pattern", "topic", n(F.col("place")).alias("place"))
+
+
 @query()
 def x7_x8_candidates(spark, d):
     return scout.scored(scout.candidates(wiki(spark, d)))
