@@ -67,7 +67,7 @@ QUOTES = "`'\"“”「」『』‘’"
 #: A segment is residue if phrases cover this share of it; a page is an error page if residue covers this share of it.
 SEGMENT_SHARE, PAGE_SHARE = 0.6, 0.5
 
-_SPLIT = re.compile(r"\n|(?<=[。!?;])|(?<=[a-z]{2}\.)(?= ?[A-Z一-鿿])")
+_SPLIT = re.compile(r"\n|(?<=[。!?;])|(?<=[a-z]{2}\.)(?= ?[a-z一-鿿])")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"(?<![a-z0-9_])[a-z]+(?![a-z0-9_])[.,;:]?")
 _TAIL = re.compile(r"^[#>*\-\s▍|]+")
@@ -102,7 +102,7 @@ def score_text(text: str | None) -> tuple[str | None, float, int]:
     total = len(_SPACE.sub("", folded))
     chars = dict.fromkeys(("template", "filler", "error", "script"), 0)
     start = 0
-    cuts = [m.end() if m.group() else m.start() for m in _SPLIT.finditer(folded)]
+    cuts = _cuts(text, folded)
     h = f = 0
     hits.sort()
     for end in [*cuts, len(folded)]:
@@ -134,6 +134,17 @@ def score_text(text: str | None) -> tuple[str | None, float, int]:
     return kind, residue / total, residue
 
 
+def _cuts(text: str, folded: str) -> list[int]:
+    """Ends of the segments; a full stop ends one before a Han or a capital letter, which only the text before folding shows."""
+    cuts = []
+    for m in _SPLIT.finditer(folded):
+        at = m.end() if m.group() else m.start()
+        if not m.group() and folded[at - 1] == "." and text[at + (folded[at] == " ")].islower():
+            continue
+        cuts.append(at)
+    return cuts
+
+
 def _segment(s: str, start: int, end: int, hits: list, fields: list) -> tuple[str | None, int]:
     """Kind and length of one segment if it is residue."""
     seg = s[start:end]
