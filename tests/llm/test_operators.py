@@ -220,18 +220,18 @@ def test_linkage_is_the_sequential_rule(spark):
     df = spark.createDataFrame(rows, ARTICLE)
     want = sequential(rows)
     assert (202, 203) in want and (200, 201) in want and (200, 202) not in want
-    for per_step in (3, 20):
+    for per_step in (4, 20):
         history = linkage.run_batches(df, batches_per_step=per_step)
-        got = [(x.accepted_ordinal, x.ordinal) for x in history.table("links", linkage.LINKS).collect()]
+        got = [(x.accepted_ordinal, x.ordinal) for x in history.table("links").collect()]
         assert len(got) == len(set(got)) and set(got) == want
         clusters = {x.ordinal: x.representative for x in linkage.clusters(history).collect()}
         assert len(clusters) == len({x[0] for x in rows if x[0] is not None}) and all(clusters[a] == clusters[b] for a, b in got)
     reopened = linkage.History(spark, history.path)
-    assert reopened.parts == history.parts
+    assert reopened.state == history.state
     late = spark.createDataFrame([(300, 16, "a", "t", None, None, None, texts[0], "")], ARTICLE)
-    done = linkage.link_batch(reopened, late, df.unionByName(late)).collect()
+    done = linkage.link_batch(reopened, late).collect()
     assert [x.ordinal for x in done] == [300]
-    assert linkage.run_batches(df.where("false")).parts == []
+    assert linkage.run_batches(df.where("false")).steps == 0
 
 
 def test_union_of_clusters_by_address_and_text(spark):
@@ -239,7 +239,7 @@ def test_union_of_clusters_by_address_and_text(spark):
     a, b = words(r, 80), words(r, 80)
     rows = [(1, 1, "a", "t", url(1), None, None, a, ""), (2, 1, "a", "t", url(2), None, None, b, ""), (3, 2, "a", "t", url(1, 1), None, None, b, "")]
     h = linkage.run_batches(spark.createDataFrame(rows, ARTICLE), batches_per_step=1)
-    assert [tuple(x) for x in h.table("links", linkage.LINKS).collect()] == [(3, 1, 2)]
+    assert [tuple(x) for x in h.table("links").collect()] == [(3, 1, 2)]
     assert {x.ordinal: x.representative for x in linkage.clusters(h).collect()} == {1: 1, 2: 1, 3: 1}
 
 
@@ -250,7 +250,7 @@ def test_weights():
     w = linkage.learn_weights(x, y)
     p = 1 / (1 + np.exp(-(x @ np.array(w["w"]))))
     assert (p[y] >= w["cut"]).all() and p[~y].mean() < 0.2
-    assert linkage.learn_weights(x[:5], y[:5]) is linkage.PRIOR
+    assert linkage.learn_weights(x[:5], y[:5]) is None
 
 
 # --- 4 ---

@@ -2,23 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from textloom.shared import Scratch, delete, materialize, maybe_broadcast, run_dir, shared_dir
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from textloom.shared import materialize, maybe_broadcast, shared_dir
-
-
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from fn(b)
-
-    return df.mapInArrow(run, schema)
-
-
-__all__ = ["map_arrow", "materialize", "maybe_broadcast", "shared_dir"]
+__all__ = ["Scratch", "delete", "materialize", "maybe_broadcast", "run_dir", "shared_dir"]

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._spark import materialize, maybe_broadcast
+from textloom import shared
+from textloom.llm._spark import Scratch, materialize
 from textloom.llm._text import code_points, keep_only, mix64, shingle_sets, slices, tables, window_hashes
 
 #: Characters of a stretch; least share of common stretches of a pair.
@@ -21,6 +22,8 @@ BANDS, ROWS = 36, 5
 BATCH, MISS = 36, 2e-4
 #: Rows of one band key that are paired in one task's block; larger keys are split into blocks.
 BLOCK = 128
+#: Pairs that one task verifies at a time, on average.
+CELL_PAIRS = 128
 
 HASHES = BANDS * ROWS
 #: Front matter of a stored file: the fenced block at its start.
@@ -45,13 +48,19 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def features(df: DataFrame, id_col: str, text: str, front_matter: bool = False, least: int = 1) -> DataFrame:
+def features(df: DataFrame, id_col: str, text: str, front_matter: bool = False, least: int = 1, carry: tuple[str, ...] = (), keep_all: bool = False) -> DataFrame:
     """(id, body, size, sig, bands) of every row whose text has at least least letters and digits.
 
-    body: hash of the folded letters and digits; size: their number; sig: a byte of every min-hash; bands: keys.
+    body: hash of the folded letters and digits; size: their number; sig: a byte of every min-hash; bands: keys. With
+    keep_all the other rows come too, with nulls, and each row has its folded letters and digits as plain (null where
+    sig is) and the columns named by carry.
     """
     t = F.col(text).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), (F.regexp_replace(t, FRONT_MATTER, "") if front_matter else t).alias("text")).where(F.col("id").isNotNull() & (F.length("text") > 0))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), (F.regexp_replace(t, FRONT_MATTER, "") if front_matter else t).alias("text"), *carry).where("id IS NOT NULL")
+    rows = rows if keep_all else rows.where(F.length("text") > 0)
+    schema = "id long, body binary, size long, sig binary, bands array<long>"
+    if keep_all:
+        schema += ", plain string" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -60,10 +69,11 @@ def features(df: DataFrame, id_col: str, text: str, front_matter: bool = False,
                 cp, off = keep_only(*code_points(b.column("text")), tables()[2])
                 h = window_hashes(cp, STRETCH)
                 seen: dict[bytes, tuple[bytes, np.ndarray]] = {}
-                keep, body, size, sig, bands = [], [], [], [], []
+                out: list[tuple] = []
                 for i in range(b.num_rows):
                     s, e = int(off[i]), int(off[i + 1])
                     if e - s < max(least, 1):
+                        out.append((None, None, None, None, None))
                         continue
                     key = _digest(cp[s:e])
                     if key not in seen:
@@ -73,16 +83,18 @@ def features(df: DataFrame, id_col: str, text: str, front_matter: bool = False,
                         for r in range(ROWS):
                             acc = mix64(acc + m[r::ROWS].astype(np.uint64))
                         seen[key] = (mix64(m.astype(np.uint64)).astype(np.uint8).tobytes(), acc.view(np.int64))
-                    keep.append(i)
-                    body.append(key)
-                    size.append(e - s)
-                    sig.append(seen[key][0])
-                    bands.append(seen[key][1])
-                flat = pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int64())), pa.array(body, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), lists], names=["id", "body", "size", "sig", "bands"])
+                    plain = cp[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace") if keep_all else None
+                    out.append((key, e - s, *seen[key], plain))
+                keep = [i for i, x in enumerate(out) if keep_all or x[0] is not None]
+                body, size, sig, bands, plain = zip(*[out[i] for i in keep], strict=True) if keep else ((), (), (), (), ())
+                columns = [b.column("id").take(pa.array(keep, pa.int64())), pa.array(body, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                names = ["id", "body", "size", "sig", "bands"]
+                if keep_all:
+                    columns += [pa.array(plain, pa.string()), *[b.column(c) for c in carry]]
+                    names += ["plain", *carry]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "id long, body binary, size long, sig binary, bands array<long>")
+    return rows.mapInArrow(run, schema)
 
 
 def _digest(cp: np.ndarray) -> bytes:
@@ -167,26 +179,53 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def exact_similarity(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, row_bytes: int = 48) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the similarity, from both texts; docs: (id, text). pairs: materialised.
 
-    The pairs are few beside the texts: where their measured size allows it they are broadcast and no text but theirs is shuffled.
+    Ids fall into a grid of hash buckets, and a pair into the cell of its two buckets, of about CELL_PAIRS pairs each. A
+    text goes once to each cell that needs it, so a text in many pairs goes to as many cells as the grid has rows, not to
+    each of its pairs. Which texts go where is broadcast if its measured size allows; else texts meet it by their id
+    (large sides get Spark's own runtime Bloom filter).
     """
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))).alias("s")).select("a", "b", "s.id", "s.side")
-    sides = maybe_broadcast(sides, row_bytes)
-    text = F.col("text")
-    both = docs.join(sides, "id").groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, text)).alias("ta"), F.max(F.when(F.col("side") == 1, text)).alias("tb"))
+    n = pairs.count()
+    grid = max(1, int(np.ceil(np.sqrt(n / CELL_PAIRS))))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+    cells = pairs.select("a", "b", (bucket("a") * grid + bucket("b")).alias("cell"))
+    needs = cells.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    needs = F.broadcast(needs) if 2 * n * row_bytes <= shared.BROADCAST_BYTES else needs
+    none = F.lit(None)
+    rows = docs.join(needs, "id").select("cell", F.col("id").alias("a"), none.cast("long").alias("b"), "text")
+    rows = rows.unionByName(cells.select("cell", "a", "b", none.cast("string").alias("text")))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNull())
+
+    def compared(want: list[tuple[int, int]], sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        a, b, sim = [], [], []
+        for i, j in want:
+            x, y = sets.get(i), sets.get(j)
+            if x is None or y is None or min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
+                continue
+            common = len(x) + len(y) - len(np.union1d(x, y))
+            share = common / (len(x) + len(y) - common)
+            if share >= similarity:
+                a.append(i)
+                b.append(j)
+                sim.append(share)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, want, sets = None, [], {}
         for whole in batches:
-            for b in slices(whole, "ta", "tb"):
-                sets = [shingle_sets(*keep_only(*code_points(b.column(c)), tables()[2]), STRETCH) for c in ("ta", "tb")]
-                sim = np.zeros(b.num_rows)
-                for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                    n = len(x) + len(y)
-                    common = n - len(np.union1d(x, y))
-                    sim[i] = common / (n - common) if n > common else 0.0
-                ok = pa.array(np.flatnonzero(sim >= similarity))
-                yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok), pa.array(sim).take(ok)], names=["a", "b", "similarity"])
-
-    return both.mapInArrow(run, "a long, b long, similarity double")
+            for s in slices(whole, "text"):
+                cell, ends = s.column("cell").to_pylist(), s.column("b").to_pylist()
+                texts = shingle_sets(*keep_only(*code_points(s.column("text")), tables()[2]), STRETCH)
+                for k, i in enumerate(s.column("a").to_pylist()):
+                    if cell[k] != now:
+                        yield compared(want, sets)
+                        now, want, sets = cell[k], [], {}
+                    if ends[k] is None:
+                        sets[i] = texts[k]
+                    else:
+                        want.append((i, ends[k]))
+        yield compared(want, sets)
+
+    return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
 def near_pairs(feats: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -202,13 +241,15 @@ def near_pairs(feats: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
 
 def _links(df: DataFrame, id_col: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(members (id, rep), links between representatives (a, b, similarity)): exact copies share a representative."""
-    feats = materialize(features(df, id_col, text, front_matter=True), "p1-features")
-    reps = feats.groupBy("body").agg(F.min("id").alias("rep"))
-    members = materialize(feats.select("id", "body").distinct().join(reps, "body").select("id", "rep"), "p1-members")
-    own = members.where("id = rep").select("id")
-    one = feats.select("id", "sig", "bands").join(own, "id").dropDuplicates(["id"])
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(text).cast("string"), FRONT_MATTER, "").alias("text"))
-    return members, materialize(near_pairs(materialize(one, "p1-representatives"), docs, similarity), "p1-links")
+    with Scratch(df.sparkSession) as tables_:
+        feats = materialize(features(df, id_col, text, front_matter=True), "p1-features")
+        reps = feats.groupBy("body").agg(F.min("id").alias("rep"))
+        members = tables_.keep(materialize(feats.select("id", "body").distinct().join(reps, "body").select("id", "rep"), "p1-members"))
+        own = members.where("id = rep").select("id")
+        one = feats.select("id", "sig", "bands").join(own, "id").dropDuplicates(["id"])
+        docs = df.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(text).cast("string"), FRONT_MATTER, "").alias("text"))
+        links = tables_.keep(materialize(near_pairs(materialize(one, "p1-representatives"), docs, similarity), "p1-links"))
+    return members, links
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "doc_ord", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -231,19 +272,21 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> Dat
     Minimum labels pass over links and are shortened by looking up the label of the label, so rounds grow with the
     logarithm of a chain's length. Each round is a table in the shared folder.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    linked = both.select(F.col("a").alias("id")).distinct()
-    label = materialize(linked.select("id", F.col("id").alias("group")), "cc")
-    for _ in range(most_rounds):
-        offered = both.join(label.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("group").alias("offer"))
-        lower = label.join(offered, "id", "left").select("id", F.col("group").alias("was"), F.least("group", "offer").alias("mid"))
-        jump = label.select(F.col("id").alias("mid"), F.col("group").alias("far"))
-        new = materialize(lower.join(jump, "mid").select("id", F.col("far").alias("group"), (F.col("far") < F.col("was")).alias("moved")), "cc")
-        label = new.select("id", "group")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    with Scratch(links.sparkSession) as tables_:
+        both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
+        linked = both.select(F.col("a").alias("id")).distinct()
+        label = materialize(linked.select("id", F.col("id").alias("group")), "cc")
+        for _ in range(most_rounds):
+            offered = both.join(label.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("group").alias("offer"))
+            lower = label.join(offered, "id", "left").select("id", F.col("group").alias("was"), F.least("group", "offer").alias("mid"))
+            jump = label.select(F.col("id").alias("mid"), F.col("group").alias("far"))
+            new = materialize(lower.join(jump, "mid").select("id", F.col("far").alias("group"), (F.col("far") < F.col("was")).alias("moved")), "cc")
+            label = new.select("id", "group")
+            if not new.where("moved").limit(1).count():
+                tables_.keep(new)
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return nodes.select("id").join(label, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 

@@ -37,7 +37,7 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles that repeat an accepted one, and the first that they repeat."""
     history = linkage.run_batches(_table(spark, d, "articles"))
-    return history.table("links", linkage.LINKS).select("accepted_ordinal", "ordinal")
+    return history.table("links").select("accepted_ordinal", "ordinal")
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
