@@ -109,3 +109,8 @@ NOISE_HEAD = rf"^(?:{'|'.join(SENTENCE_HEADS)})"
 FIELD_HEAD = rf"^(?:{'|'.join(SENTENCE_FIELDS)})"
 SENTENCE_EDGE = r"^[ \-#*`\t\r\n]+|[ \-#*`\t\r\n]+$"
 CANONICAL_NAME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}_.*\.md$"
+
+# The wording of the explanation of a page type.
+HIT_WORD, HIT_TITLE, HIT_SOURCE, HIT_TAGS = "关键词[{}]+2", "标题特征[{}]+4", "来源类型[{}]+1", "标签推断[已有页统计]+"
+BREAKDOWN, POINTS, NO_HIT, BEST_TYPE, LEAD = "### 各类型得分详情", " 分  →  ", "无命中", "- 最佳类型: ", " (与第2名分差: "
+NO_SCORE = "所有类型得分均为0，选择默认 [guide, topic]"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import text as T
-from textloom.shared import materialize
+from textloom.shared import Scratch, materialize
 
 
 def documents(raw: DataFrame) -> DataFrame:
@@ -90,12 +90,16 @@ def assign(docs: DataFrame) -> DataFrame:
     first = d.groupBy("bucket").agg(F.min("doc_ord").alias("bucket_ord"))
     stats = k.join(m, "bucket").join(first, "bucket")
     how = F.when((F.col("n") > 6) & (F.col("keys") >= 2), F.lit("key")).when((F.col("n") > 6) & (F.col("months") >= 3), F.lit("month")).otherwise(F.lit("all"))
-    d = d.join(stats, "bucket").join(keys, ["bucket", "key"]).withColumn("how", how)
+    # documents are many to a bucket: only slim rows meet the small tables, in joins that AQE broadcasts by their size
+    # or splits where a bucket is hot; features and texts join the result by id
+    slim = d.select("doc_ord", "bucket", "key", "month").distinct().join(keys.join(stats, "bucket"), ["bucket", "key"])
+    slim = slim.withColumn("how", how)
     mine = significant & (F.col("how") == "key")
-    d = d.withColumn("split", F.when(mine, F.concat(F.lit("k:"), F.col("key"))).when(F.col("how") == "month", F.concat(F.lit("m:"), F.col("month"))).otherwise(F.lit("")))
-    d = d.withColumn("rest", ((F.col("how") == "key") & ~mine).cast("int")).withColumn("size_ord", F.when(mine, -F.col("key_n")).otherwise(F.lit(0))).withColumn("month_ord", F.when(F.col("how") == "month", F.col("month")).otherwise(F.lit("")))
-    ids = d.groupBy("bucket", "split").agg(F.min("doc_ord").alias("cluster_id"))
-    return d.join(ids, ["bucket", "split"]).drop("n", "keys", "months", "key_n", "how", "key")
+    slim = slim.withColumn("split", F.when(mine, F.concat(F.lit("k:"), F.col("key"))).when(F.col("how") == "month", F.concat(F.lit("m:"), F.col("month"))).otherwise(F.lit("")))
+    slim = slim.withColumn("rest", ((F.col("how") == "key") & ~mine).cast("int")).withColumn("size_ord", F.when(mine, -F.col("key_n")).otherwise(F.lit(0))).withColumn("month_ord", F.when(F.col("how") == "month", F.col("month")).otherwise(F.lit("")))
+    slim = materialize(slim.select("doc_ord", "bucket", "key", "month", "split", "rest", "size_ord", "month_ord", "bucket_ord"), "assigned")
+    slim = slim.join(slim.groupBy("bucket", "split").agg(F.min("doc_ord").alias("cluster_id")), ["bucket", "split"])
+    return d.join(slim, ["doc_ord", "bucket", "key", "month"]).drop("key")
 
 
 def title_ranked(members: DataFrame, most: int) -> DataFrame:
@@ -168,7 +172,7 @@ def tag_types(pages: DataFrame) -> DataFrame:
 
 
 def type_scores(members: DataFrame, clusters: DataFrame, pages: DataFrame | None = None, source_type: str = "mixed") -> DataFrame:
-    """(cluster_id, ptype, score, rank) for each of the five types, best first, ties by name."""
+    """(cluster_id, ptype, score, hits, rank) for each of the five types, best first, ties by name; hits: the reasons."""
     first = title_ranked(members, 6)
     hay = F.lower(F.concat_ws("\n", F.col("title"), F.col("preview"), F.array_join(F.slice("tags", 1, 5), "\n"), F.array_join(F.slice("tokens", 1, 20), "\n")))
     low = F.lower("title")
@@ -181,8 +185,12 @@ def type_scores(members: DataFrame, clusters: DataFrame, pages: DataFrame | None
         s = F.lit(1 if K.SOURCE_BONUS.get(source_type) == t else 0) + 4 * F.col(f"t_{t}")
         for i in range(len(K.TYPE_KEYWORDS[t])):
             s = s + 2 * F.col(f"k_{t}_{i}")
-        parts.append(F.struct(F.lit(t).alias("ptype"), s.cast("long").alias("score")))
-    scores = wide.select("cluster_id", F.explode(F.array(*parts)).alias("x")).select("cluster_id", "x.ptype", "x.score")
+        words = F.array(*[F.when(F.col(f"k_{t}_{i}") == 1, F.lit(K.HIT_WORD.format(w))) for i, w in enumerate(K.TYPE_KEYWORDS[t])])
+        titles = F.array_repeat(F.lit(K.HIT_TITLE.format(K.TITLE_MARKS[t][0])), F.col(f"t_{t}").cast("int"))
+        source = F.array(F.lit(K.HIT_SOURCE.format(source_type))) if K.SOURCE_BONUS.get(source_type) == t else F.array().cast("array<string>")
+        hits = F.concat(F.filter(words, lambda x: x.isNotNull()), titles, source)
+        parts.append(F.struct(F.lit(t).alias("ptype"), s.cast("long").alias("score"), hits.alias("hits")))
+    scores = wide.select("cluster_id", F.explode(F.array(*parts)).alias("x")).select("cluster_id", "x.*")
     if pages is not None:
         tags = tag_types(pages)
         hits = clusters.select("cluster_id", F.posexplode("hints_hit").alias("at", "tag")).join(tags, "tag").groupBy("cluster_id", "ptype").agg(F.least(F.min_by("n", "at"), F.lit(3)).alias("boost"))
@@ -190,7 +198,8 @@ def type_scores(members: DataFrame, clusters: DataFrame, pages: DataFrame | None
         major = tags.join(total, "tag").where("n * 2 >= all").select("tag", "ptype")
         names = clusters.select("cluster_id", F.explode(F.array_distinct(T.raw_tokens("name"))).alias("tag")).join(major, "tag").groupBy("cluster_id", "ptype").agg((F.count("*") * 2).alias("boost"))
         boosts = hits.unionByName(names).groupBy("cluster_id", "ptype").agg(F.sum("boost").alias("boost"))
-        scores = scores.join(boosts, ["cluster_id", "ptype"], "left").select("cluster_id", "ptype", (F.col("score") + F.coalesce("boost", F.lit(0))).alias("score"))
+        boosted = F.when(F.col("boost").isNotNull(), F.concat("hits", F.array(F.concat(F.lit(K.HIT_TAGS), F.col("boost").cast("string"))))).otherwise(F.col("hits"))
+        scores = scores.join(boosts, ["cluster_id", "ptype"], "left").select("cluster_id", "ptype", (F.col("score") + F.coalesce("boost", F.lit(0))).alias("score"), boosted.alias("hits"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "ptype")
     return scores.withColumn("rank", F.row_number().over(w))
 
@@ -206,12 +215,13 @@ def page_types(scores: DataFrame) -> DataFrame:
 
 
 def type_breakdown(scores: DataFrame) -> DataFrame:
-    """(cluster_id, breakdown): the types with their scores, best first, and the lead of the first."""
-    one = scores.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ptype", "score"))).alias("s"))
-    lines = F.array_join(F.transform("s", lambda x: F.concat(F.lit("- **"), x["ptype"], F.lit("**: "), x["score"].cast("string"), F.lit(" 分"))), "\n")
+    """(cluster_id, breakdown): the types with their scores and reasons, best first, and the lead of the first."""
+    one = scores.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ptype", "score", "hits"))).alias("s"))  # five rows a cluster
+    why = lambda x: F.when(F.size(x["hits"]) > 0, F.array_join(x["hits"], "、")).otherwise(F.lit(K.NO_HIT))
+    lines = F.array_join(F.transform("s", lambda x: F.concat(F.lit("- **"), x["ptype"], F.lit("**: "), x["score"].cast("string"), F.lit(K.POINTS), why(x))), "\n")
     lead = F.element_at("s", 1)["score"] - F.element_at("s", 2)["score"]
-    zero = F.lit("所有类型得分均为0，选择默认 [guide, topic]")
-    return one.select("cluster_id", F.when(F.element_at("s", 1)["score"] <= 0, zero).otherwise(F.concat(F.lit("### 各类型得分详情\n"), lines, F.lit("\n- 分差: "), lead.cast("string"))).alias("breakdown"))
+    text = F.concat(F.lit(K.BREAKDOWN + "\n"), lines, F.lit("\n" + K.BEST_TYPE), F.element_at("s", 1)["ptype"], F.lit(K.LEAD), lead.cast("string"), F.lit(")"))
+    return one.select("cluster_id", F.when(F.element_at("s", 1)["score"] <= 0, F.lit(K.NO_SCORE)).otherwise(text).alias("breakdown"))
 
 
 def page_title(name: Column, page_type: Column, months: Column, batch: str) -> Column:
@@ -235,14 +245,15 @@ def planned(raw: DataFrame, pages: DataFrame | None = None, most: int = 5, sourc
     only the planned clusters' documents get them back.
     """
     docs = documents(raw)
-    members = materialize(assign(docs.drop("text", "preview")), "members")
-    top = cluster_table(members).orderBy(*cluster_order()).limit(most)
-    top = materialize(top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*cluster_order()))), "planned")  # at most `most` rows
-    mine = members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")
-    texts = docs.select("doc_ord", "preview", "text").join(mine.select("doc_ord").distinct(), "doc_ord", "left_semi").dropDuplicates(["doc_ord"])
-    mine = materialize(mine.join(texts, "doc_ord"), "planned-members")
-    types = page_types(type_scores(mine, top.select("cluster_id", "name", "hints_hit"), pages, source_type))
-    return materialize(top.join(types, "cluster_id"), "planned-types"), mine
+    with Scratch(raw.sparkSession) as tables:
+        members = materialize(assign(docs.drop("text", "preview")), "members")
+        top = cluster_table(members).orderBy(*cluster_order()).limit(most)
+        top = materialize(top.withColumn("cluster_rank", F.row_number().over(Window.orderBy(*cluster_order()))), "planned")  # at most `most` rows
+        mine = members.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")
+        texts = docs.select("doc_ord", "preview", "text").join(mine.select("doc_ord").distinct(), "doc_ord", "left_semi").dropDuplicates(["doc_ord"])
+        mine = tables.keep(materialize(mine.join(texts, "doc_ord"), "planned-members"))
+        types = page_types(type_scores(mine, top.select("cluster_id", "name", "hints_hit"), pages, source_type))
+        return tables.keep(materialize(top.join(types, "cluster_id"), "planned-types")), mine
 
 
 def section_content(members: DataFrame, types: DataFrame, docs: int = 10, sentences: int = 15, most: int = 3) -> DataFrame:

@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import text as T
+from textloom.shared import materialize, maybe_broadcast
+
+#: Ids of one file name that are numbered in one task.
+NAME_PART = 100_000
 
 
 def once(articles: DataFrame, id_col: str = "ordinal") -> DataFrame:
-    """Articles delivered more than once, with equal columns, once each."""
-    return articles.dropDuplicates([id_col])
+    """Articles delivered more than once, once each. Where rows of an id differ, the one with the smallest hash of its columns counts.
+
+    Repeats are few: ids that come twice are found on ids alone (counts combine before the shuffle), and only their rows
+    are shuffled; the others go through as they are. A null id is an id.
+    """
+    twice = maybe_broadcast(materialize(articles.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id")), "repeats"), 24)
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    whole = F.xxhash64(*articles.columns)
+    first = Window.partitionBy(id_col).orderBy(whole)
+    again = articles.join(twice, same, "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    return articles.join(twice, same, "left_anti").unionByName(again)
 
 
 def keyword_filter(articles: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -160,9 +173,42 @@ def markdown_export(articles: DataFrame) -> DataFrame:
     at = F.timestamp_seconds(F.coalesce(F.col("create_time").cast("long"), F.lit(0)))
     title = F.coalesce("title", F.lit("无标题"))
     x = x.select("ordinal", F.concat(T.file_name(F.coalesce("account", F.lit(""))), F.lit("/"), F.date_format(at, "yyyy-MM")).alias("folder"), F.concat(F.date_format(at, "yyyy-MM-dd"), F.lit("_"), T.file_name(title)).alias("stem"), title.alias("title"), at.alias("at"), F.coalesce("link", F.lit("")).alias("link"), F.coalesce("account", F.lit("")).alias("account"), "content")
-    k = F.row_number().over(Window.partitionBy("folder", "stem").orderBy("ordinal")) - 1
+    # names alone are numbered, in parts of their hash where one name is very common: counts of the parts, then places in them
+    names = x.select("ordinal", "folder", "stem")
+    names = materialize(names.join(names.groupBy("folder", "stem").count().where("count > 1").drop("count"), ["folder", "stem"], "left_semi").withColumn("part", F.expr(f"ordinal div {NAME_PART}")), "names")
+    parts = names.groupBy("folder", "stem", "part").agg(F.count("*").alias("n"))
+    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("folder", "stem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k = F.row_number().over(Window.partitionBy("folder", "stem", "part").orderBy("ordinal")) - 1
+    numbered = names.withColumn("r", k).join(before, ["folder", "stem", "part"]).select("ordinal", "folder", "stem", (F.col("r") + F.col("before")).alias("k"))
     md = F.concat(F.lit('---\ntitle: "'), F.col("title"), F.lit('"\ndate: '), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit("\nsource: "), F.col("link"), F.lit("\naccount: "), F.col("account"), F.lit("\n---\n\n"), F.col("content"), F.lit("\n"))
-    return x.withColumn("k", k).select("ordinal", "folder", F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".md")).alias("file_name"), md.alias("markdown"))
+    x = x.join(maybe_broadcast(materialize(numbered.drop("folder", "stem"), "numbers"), 24), "ordinal", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return x.select("ordinal", "folder", F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".md")).alias("file_name"), md.alias("markdown"))
+
+
+def report_totals(plan: DataFrame, total: str = "total") -> DataFrame:
+    """K8: (action, n) of a plan's files, and of all of them under the name total; actions without files have no row."""
+    n = plan.groupBy("action").agg(F.count("*").alias("n"))
+    return n.unionByName(plan.agg(F.count("*").alias("n")).select(F.lit(total).alias("action"), "n"))
+
+
+def progress_rows(fetched: DataFrame, since: str | None, most: int | None, at: str) -> DataFrame:
+    """(account, file_name, since_date, max_articles, fetched_count, updated_at) of each account's run; a null account has none.
+
+    fetched: (account, url) of the articles so far. Their addresses stay rows of that table, not one array an account.
+    """
+    g = fetched.where("account IS NOT NULL").groupBy("account").agg(F.count("*").alias("fetched_count"))
+    name = F.concat(F.lit("progress_"), T.account_file_name("account"), F.lit(".json"))
+    return g.select("account", name.alias("file_name"), F.lit(since).cast("string").alias("since_date"), F.lit(most).cast("int").alias("max_articles"), "fetched_count", F.lit(at).alias("updated_at"))
+
+
+def save_progress(progress: DataFrame, rows: DataFrame) -> DataFrame:
+    """Progress with the accounts of rows replaced by them."""
+    return progress.join(rows.select("account"), "account", "left_anti").unionByName(rows)
+
+
+def clear_progress(progress: DataFrame, done: DataFrame) -> DataFrame:
+    """Progress without the accounts that are done."""
+    return progress.join(done.select("account").distinct(), "account", "left_anti")
 
 
 def report_rows(plan: DataFrame, most: int = 50) -> DataFrame:

@@ -76,19 +76,34 @@ def health_issues(p: DataFrame, index_text: str = "", log_text: str = "") -> Dat
     h6 = issue(body.join(rel, ["page_ord", "target"], "left_anti"), "related_missing", F.col("target"))
     h7 = issue(rel.join(body, ["page_ord", "target"], "left_anti"), "body_missing", F.col("target"))
     found = [h1, h2, h3, h4, h5, h6, h7]
-    file_mark = F.concat(F.lit("`wiki/"), F.col("file_name"), F.lit("`"))
     if index_text:
-        found.append(issue(p.where(~F.lit(index_text).contains(file_mark)), "index_missing"))
+        found.append(issue(unmarked(p, index_text, ("file_name",)), "index_missing"))
     if log_text:
-        log = F.lit(log_text)
-        known = log.contains(file_mark) | log.contains(F.concat(F.lit("`wiki/"), T.slug("title"), F.lit(".md`"))) | log.contains(F.concat(F.lit("[["), F.col("title"), F.lit("]]")))
-        found.append(issue(p.where(~known), "log_missing"))
+        found.append(issue(unmarked(p, log_text, ("file_name", "slug", "title")), "log_missing"))
     out_df = found[0]
     for x in found[1:]:
         out_df = out_df.unionByName(x)
     return out_df
 
 
+def unmarked(p: DataFrame, text: str, by: tuple[str, ...]) -> DataFrame:
+    """Pages that a text of marks (an index, a log) doesn't name by `wiki/FILE` (its file name or its title's slug) or [[TITLE]].
+
+    The text is searched once for all its marks, which meet the pages by an anti join.
+    """
+    import re
+
+    files = {m for m in re.findall(r"(?=`wiki/([^`]*)`)", text)} if {"file_name", "slug"} & {*by} else set()
+    names = {text[m.start() + 2 : e] for m in re.finditer(r"(?=\[\[)", text) if (e := text.find("]]", m.start() + 2)) >= 0} if "title" in by else set()
+    marks = p.sparkSession.createDataFrame([*[("f", x) for x in files], *[("t", x) for x in names]], "kind string, mark string")
+    keys = {"file_name": ("f", F.col("file_name")), "slug": ("f", F.concat(T.slug("title"), F.lit(".md"))), "title": ("t", F.col("title"))}
+    out = p
+    for k in by:
+        kind, value = keys[k]
+        out = out.withColumn("__mark", value).join(marks.where(F.col("kind") == kind).select(F.col("mark").alias("__mark")), "__mark", "left_anti").drop("__mark")
+    return out
+
+
 HEALTH_KINDS = ("missing_related_field", "missing_type_field", "island", "pseudo", "one_way", "related_missing", "body_missing", "index_missing", "log_missing")
 
 
@@ -177,14 +192,29 @@ def shared_terms(clusters: DataFrame, p: DataFrame, most: int = 6) -> DataFrame:
     return b.join(F.broadcast(a), "term").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("cluster_id", "page_ord", "rank", "term")
 
 
+def not_self(pairs: DataFrame, clusters: DataFrame, p: DataFrame) -> DataFrame:
+    """pairs (cluster_id, page_ord, ...) without those of a cluster and the page of its own title; all if clusters have no title."""
+    if "title" not in clusters.columns:
+        return pairs
+    own = clusters.where("title <> ''").select("cluster_id", "title").join(p.select("page_ord", "title"), "title").select("cluster_id", "page_ord")
+    return pairs.join(own, ["cluster_id", "page_ord"], "left_anti")
+
+
+def alerts(conflict: DataFrame, most: int = 20) -> DataFrame:
+    """The first most conflicts in the order of clusters and pages, with their place."""
+    order = Window.orderBy("cluster_id", "page_ord")
+    return conflict.orderBy("cluster_id", "page_ord").limit(most).withColumn("place", F.row_number().over(order))  # the feature's own cap
+
+
 def conflicts(clusters: DataFrame, members: DataFrame, p: DataFrame) -> DataFrame:
-    """(cluster_id, page_ord, title, severity, reasons, shared): statements of opposite polarity on shared terms.
+    """(cluster_id, page_ord, title, severity, reasons, shared): statements of opposite polarity on shared terms.
 
-    Only pairs with a shared term meet; each side has at most ten sentences.
+    Only pairs with a shared term meet; each side has at most ten sentences. If the clusters have the titles of their
+    pages (title), a cluster's own page is none of its conflicts.
     """
     from textloom.operators.corpus import title_ranked
 
-    shared = shared_terms(clusters, p).groupBy("cluster_id", "page_ord").agg(F.sort_array(F.collect_set("term")).alias("shared"))
+    shared = not_self(shared_terms(clusters, p), clusters, p).groupBy("cluster_id", "page_ord").agg(F.sort_array(F.collect_set("term")).alias("shared"))
     raw = title_ranked(members, 6).select("cluster_id", "title_rank", F.posexplode(T.key_sentences(F.coalesce(T.blank_to_null(F.col("text")), F.col("preview")), 2)).alias("pos", "raw"))
     raw = raw.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("title_rank", "pos"))).where("r <= 10").select("cluster_id", "r", T.tokens("raw").alias("rt"), T.is_negative(F.col("raw")).alias("rn"), T.is_positive(F.col("raw")).alias("rp"))
     page = p.join(shared.select("page_ord").distinct(), "page_ord", "left_semi").select("page_ord", "title", F.posexplode(T.key_sentences("text", 10)).alias("q", "sentence"))

@@ -1,4 +1,6 @@
-"""Rendered pages and report texts (K1-K6, K11, R11): columns of text; the day is a parameter."""
+"""Rendered pages and report texts (K1-K6, R11): columns of text; the day is a parameter."""
+
+# All wording of pages, index, log and reports below (headings, labels, notes) is part of the result's format.
 
 from __future__ import annotations
 

@@ -25,6 +25,8 @@ GRADES = {
     "quantpedia.com": "B", "medium.com": "B", "substack.com": "B", "mp.weixin.qq.com": "B", "tradingview.com": "B", "caixin.com": "B", "zhihu.com": "C", "xueqiu.com": "C",
 }
 ROUTES = {"paper": "paper", "report": "report", "wechat": "account_article"}
+# Words of a title that promises more than one page.
+WIDE_TITLES = ("综述", "汇总", "合集", "大全")
 #: A page on one sentence ends at most one of these.
 _STOPS = r"[。！？!?；;]"
 
@@ -57,6 +59,20 @@ def overweight_pages(p: DataFrame, split: int = 5_000, maybe: int = 2_000) -> Da
     return x.withColumn("grade", grade).where("grade IS NOT NULL")
 
 
+def overweight_signals(p: DataFrame, many: int = 5, broken: int = 3) -> DataFrame:
+    """(page_ord, wide_title, many_sections, broken_links): signs that a page should be split; a page without any has no row.
+
+    wide_title: the title holds one of WIDE_TITLES; many_sections: at least many second-level headings; broken_links: at
+    least broken different links to names without a page.
+    """
+    e = edges(p).select("page_ord", "target").distinct()
+    lost = e.join(page_map(p).select(F.col("title").alias("target")), "target", "left_anti").groupBy("page_ord").agg(F.count("*").alias("lost"))
+    sections = F.regexp_count("text", F.lit(r"(?md)^##[ \t]"))
+    x = p.select("page_ord", F.regexp_like("title", F.lit("|".join(WIDE_TITLES))).alias("wide_title"), (sections >= many).alias("many_sections")).join(lost, "page_ord", "left")
+    x = x.select("page_ord", "wide_title", "many_sections", (F.coalesce("lost", F.lit(0)) >= broken).alias("broken_links"))
+    return x.where("wide_title OR many_sections OR broken_links")
+
+
 def _tags(p: DataFrame) -> DataFrame:
     return p.select("page_ord", "title", F.explode(F.array_distinct("tags")).alias("tag"))
 
@@ -123,6 +139,17 @@ def queue(candidates: DataFrame, most: int = 10) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def brief(candidates: DataFrame, most: int = 10, least: int = 2, budget: int = 20, sites: int = 2) -> DataFrame:
+    """X11: the queue with how many candidates wait behind it and whether each is searched; no row under least candidates.
+
+    A candidate takes up to sites searches of the budget, in the queue's order; those the budget doesn't reach aren't searched.
+    """
+    n = candidates.agg(F.count("*").alias("__n"))
+    x = queue(candidates, most).crossJoin(F.broadcast(n))  # one row
+    waiting = F.greatest(F.col("__n") - most, F.lit(0))
+    return x.where(F.col("__n") >= least).withColumn("waiting", waiting).withColumn("searched", F.col("place") * sites <= budget).drop("__n")
+
+
 def candidates(p: DataFrame, as_of: str | None = None, updated: str = "updated") -> DataFrame:
     """X1-X6 as (pattern, scan, topic, refs): one row a gap; scan is the pattern's place in the scan (X7); refs weighs urgency.
 

@@ -5,6 +5,7 @@ A query's name starts with the operator's id. Results are scalars or joined stri
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from textloom.functions import html as H
 from textloom.functions import text as T
 from textloom.operators import corpus, ingest, links, render, scout
 from textloom.plans import pipeline
-from textloom.shared import materialize, spread
+from textloom.shared import materialize, run_dir, spread
+from textloom.sources import readers, writers
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,7 +217,24 @@ def t28_t29_sections(spark, d):
     return x.select("page_ord", s.alias("section"), n(T.section_start("text", s)).alias("lo"), n(T.section_end("text", s)).alias("hi"))
 
 
-@query()
+_ITEMS = r"(?s)^((?:.*\n)?[ \t]*(?:[-*+] |[0-9]+\. )[^\n]*(?:\n|$)(?:[ \t\r]*\n)*(?:[ \t\r]+$)?)(.*)$"
+
+
+def _section_sql_of(text: str, marker: str) -> str:
+    """The marker's section as an expression."""
+    rest = f"substr({text}, instr({text}, {marker}) + length({marker}))"
+    return f"CASE WHEN {O.like(rest, chr(10) + '##' + K.WS)} THEN regexp_extract({rest}, {O.q('^((?s:.*?))' + chr(10) + '##' + K.WS)}, 1) ELSE {rest} END"
+
+
+def _insert_sql(text: str, marker: str, line: str, sec: str = "sec") -> str:
+    """T30 as an expression over a column sec that holds the marker's section."""
+    at = f"(instr({text}, {marker}) - 1 + length({marker}))"
+    bare = O.rr(O.rr(sec, "^[" + chr(13) + chr(10) + "]+"), K.WS + "+$")
+    new = f"CASE WHEN {O.like(sec, '(?:^|' + chr(10) + ')[ ' + chr(9) + ']*(?:[-*+] |[0-9]+[.] )')} THEN regexp_extract({sec}, {O.q(_ITEMS)}, 1) || {line} || chr(10) || regexp_extract({sec}, {O.q(_ITEMS)}, 2) WHEN {bare} = '' THEN chr(10) || chr(10) || {line} || chr(10) ELSE regexp_extract({sec}, {O.q('^([' + chr(13) + chr(10) + ']*)')}, 1) || {bare} || chr(10) || chr(10) || {line} || chr(10) END"
+    return f"CASE WHEN instr({text}, {marker}) = 0 THEN {text} ELSE substr({text}, 1, {at}) || ({new}) || substr({text}, {at} + length({sec}) + 1) END"
+
+
+@query(f"WITH {O.PAGES}, m AS (SELECT *, {O.section('text')} AS marker FROM pages), ms AS (SELECT *, {_section_sql_of('text', 'marker')} AS sec FROM m) SELECT page_ord, {_insert_sql('text', 'marker', O.q('- 关联页：[[新页]]'))} AS text FROM ms")
 def t30_insert_line(spark, d):
     s = T.backlink_section("text")
     return wiki(spark, d).select("page_ord", T.insert_in_section("text", s, F.lit("- 关联页：[[新页]]")).alias("text"))
@@ -234,6 +253,34 @@ def t32_md5(spark, d):
 # --- sources and sinks over tables ---
 
 
+def _written(df: DataFrame, path: str, text: str) -> str:
+    """The folder of files written from a table (K2)."""
+    folder = f"{run_dir(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    writers.write_files(df, folder, path, text).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_STEM = f"regexp_replace(regexp_extract(rel_path, {O.q('([^/]*)$')}, 1), {O.q('[.]md$')}, '')"
+
+
+@query(
+    f"SELECT row_number() OVER (ORDER BY string_split(rel_path, '/')) - 1 AS doc_ord, rel_path, {O.title('text', _STEM)} AS title, CASE WHEN {O.like(f'regexp_extract(rel_path, {O.q("([^/]*)/[^/]*$")}, 1)', '^[0-9]{4}-[0-9]{2}')} THEN regexp_extract(rel_path, {O.q('([^/]*)/[^/]*$')}, 1) ELSE 'unknown' END AS month, "
+    f"substr({O.clean('text')}, 1, 600) AS preview, {O.title_key(O.title('text', _STEM))} AS title_key, CAST(len({O.tokens('text')}) AS BIGINT) AS tokens, md5(text) AS md5 FROM raw_docs WHERE text IS NOT NULL AND rel_path IS NOT NULL"
+)
+def s1_s3_k2_t32_scan_files(spark, d):
+    """The stored documents written as files, then read, ordered and derived from them."""
+    files = readers.with_order(readers.markdown_files(spark, _written(raw(spark, d), "rel_path", "text")))
+    x = corpus.derive(files, HINTS).join(files.select("doc_ord", "md5"), "doc_ord")
+    return x.select("doc_ord", "rel_path", "title", "month", "preview", "title_key", n(F.size("tokens")).alias("tokens"), "md5")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY string_split(file_name, '/')) - 1 AS page_ord, file_name, {O.title('text', O.rr('file_name', '[.]md$'))} AS title, {O.page_type('text')} AS page_type, {O.joined(O.field_list('text', 'tags'))} AS tags, {O.joined(O.field_list('text', 'related'))} AS related FROM wiki_pages WHERE text IS NOT NULL AND file_name IS NOT NULL")
+def s2_page_files(spark, d):
+    """The pages written as files, then read (one folder, no subfolders), ordered and derived from them."""
+    files = readers.with_order(readers.markdown_files(spark, _written(table(spark, d, "wiki_pages"), "file_name", "text"), recursive=False), "page_ord")
+    return links.derive_pages(files.withColumnRenamed("name", "file_name")).select("page_ord", "file_name", "title", "page_type", joined(F.col("tags")).alias("tags"), joined(F.col("related")).alias("related"))
+
+
 @query(f"SELECT DISTINCT {O.source_of('text')} AS link FROM raw_docs WHERE {O.source_of('text')} <> ''")
 def s6_history_links(spark, d):
     return ingest.history_links(raw(spark, d))
@@ -340,20 +387,53 @@ def j8_skipped_articles(spark, d):
     return ingest.split_new(articles(spark, d).where("batch_no > 12"), _history(spark, d))[1].select("ordinal")
 
 
-_INCOMING = f"""i AS (SELECT doc_ord AS ord, regexp_replace({_DATED}, '_.*(.)[.]md$', '_\\1.md') AS name, md5(coalesce(title_key, '')) AS md5 FROM raw_docs),
+_INCOMING = f"""i AS (SELECT doc_ord AS ord, regexp_replace({_DATED}, '_.*(.)[.]md$', '_\\1.md') AS name, md5(coalesce(title_key, '')) AS md5, modified_at FROM raw_docs),
 n AS (SELECT *, {O.strip("translate(lower(name), '-_ ', '')")} AS norm, {O.like("name", K.CANONICAL_NAME)} AS canonical FROM i),
-hist AS (SELECT norm, arg_max(md5, ord) AS hmd5 FROM n WHERE ord % 7 = 3 GROUP BY norm)"""
+hist AS (SELECT norm, arg_max(md5, ord) AS hmd5 FROM n WHERE modified_at < TIMESTAMP '2024-07-01' GROUP BY norm)"""
 
 
 @query(
-    f"""WITH {_INCOMING}, w AS (SELECT n.*, coalesce(last_value(CASE WHEN canonical THEN md5 END IGNORE NULLS) OVER (PARTITION BY n.norm ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hmd5) AS before FROM n LEFT JOIN hist USING (norm))
+    f"""WITH {_INCOMING}, w AS (SELECT n.*, coalesce(last_value(CASE WHEN canonical THEN md5 END IGNORE NULLS) OVER (PARTITION BY n.norm ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hmd5) AS before FROM n LEFT JOIN hist USING (norm) WHERE modified_at >= TIMESTAMP '2024-07-01')
 SELECT ord, name, CASE WHEN coalesce(md5 = before, false) THEN 'duplicate' WHEN NOT canonical THEN 'bad_name' ELSE 'sync' END AS action,
  CASE WHEN {O.like("name", "^[0-9]{4}-[0-9]{2}-[0-9]{2}")} THEN substr(name, 1, 7) WHEN {O.like("name", "^[0-9]{8}")} THEN substr(name, 1, 4) || '-' || substr(name, 5, 2) END AS month FROM w"""
 )
 def j9_u3_sync_plan(spark, d):
-    x = raw(spark, d).select(F.col("doc_ord").alias("ord"), F.regexp_replace(_file_name(), r"_.*(.)[.]md$", "_$1.md").alias("name"), F.md5(F.coalesce("title_key", F.lit(""))).alias("md5"))
-    h = x.where("ord % 7 = 3").withColumn("norm", T.normal_name("name")).groupBy("norm").agg(F.max_by("md5", "ord").alias("md5"))
-    return ingest.sync_plan(x, h).select("ord", "name", "action", "month")
+    x = raw(spark, d).select(F.col("doc_ord").alias("ord"), F.regexp_replace(_file_name(), r"_.*(.)[.]md$", "_$1.md").alias("name"), F.md5(F.coalesce("title_key", F.lit(""))).alias("md5"), "modified_at")
+    h = x.where("modified_at < timestamp'2024-07-01'").withColumn("norm", T.normal_name("name")).groupBy("norm").agg(F.max_by("md5", "ord").alias("md5"))
+    return ingest.sync_plan(x.where("modified_at >= timestamp'2024-07-01'"), h).select("ord", "name", "action", "month")
+
+
+_SYNC = _SQL["j9_u3_sync_plan"]
+
+
+@query(f"WITH x AS ({_SYNC}) SELECT action, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY action UNION ALL SELECT 'total', CAST(count(*) AS BIGINT) FROM x")
+def k8_report_totals(spark, d):
+    return ingest.report_totals(j9_u3_sync_plan(spark, d))
+
+
+@query(f"SELECT ord, action, CAST(seq AS BIGINT) AS seq FROM (SELECT ord, action, row_number() OVER (PARTITION BY action ORDER BY ord) AS seq FROM ({_SYNC})) WHERE seq <= 50")
+def k8_report_rows(spark, d):
+    return ingest.report_rows(j9_u3_sync_plan(spark, d)).select("ord", "action", n(F.col("seq")).alias("seq"))
+
+
+@query(f"WITH {ARTICLES}, {_HIST}, x AS (SELECT account, CASE WHEN {O.link()} IN (SELECT link FROM h) THEN 0 ELSE 1 END AS n FROM a WHERE batch_no > 12) SELECT account, CAST(sum(n) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS original_total, CAST(count(*) - sum(n) AS BIGINT) AS skipped_historical, '2025-06-01' AS filtered_at, '动量' AS keywords FROM x GROUP BY account")
+def k11_filtered_headers(spark, d):
+    new, skipped = ingest.split_new(articles(spark, d).where("batch_no > 12"), _history(spark, d))
+    return writers.filtered_header(new, skipped, ("动量",), AS_OF).withColumn("keywords", joined(F.col("keywords")))
+
+
+@query(f"WITH {ARTICLES} SELECT account, 'progress_' || translate(account, '/ ', '__') || '.json' AS file_name, '2024-01-01' AS since_date, CAST(200 AS BIGINT) AS max_articles, CAST(count(*) AS BIGINT) AS fetched_count, '2025-06-01' AS updated_at FROM a WHERE account IS NOT NULL GROUP BY account")
+def w8_progress(spark, d):
+    x = ingest.progress_rows(articles(spark, d), "2024-01-01", 200, AS_OF)
+    return x.withColumn("max_articles", n(F.col("max_articles")))
+
+
+@query(f"WITH {ARTICLES} SELECT account, CAST(sum(CASE WHEN batch_no <= 20 THEN 1 ELSE 0 END) AS BIGINT) AS fetched_count FROM a WHERE account IS NOT NULL GROUP BY account HAVING min(batch_no) <= 20 AND max(batch_no) <= 23")
+def w5_w8_resumable(spark, d):
+    """Progress after 20 batches, cleared for the accounts of the last one: what a run with the same settings goes on with."""
+    a = articles(spark, d)
+    saved = ingest.save_progress(ingest.progress_rows(a.where("batch_no <= 3"), "2024-01-01", 200, AS_OF), ingest.progress_rows(a.where("batch_no <= 20"), "2024-01-01", 200, AS_OF))
+    return ingest.resumable(ingest.clear_progress(saved, a.where("batch_no > 23").select("account")), "2024-01-01", 200).select("account", "fetched_count")
 
 
 @query("WITH x AS (SELECT DISTINCT account FROM articles) SELECT x.account, strftime(coalesce(CAST(last_success_timestamp AS DATE) - INTERVAL 1 DAY, DATE '2025-06-01' - INTERVAL 14 DAY), '%Y-%m-%d') AS since FROM x LEFT JOIN ingest_state s ON x.account = s.account")
@@ -469,7 +549,7 @@ def o2_o7_planned(spark, d):
 
 
 @query(f"WITH {O.CLUSTERS}, {O.PAGES}, {O.type_scores()} SELECT cluster_id, ptype, CAST(score AS BIGINT) AS score, CAST(rank AS BIGINT) AS rank FROM types")
-def p1_p2_j10_type_scores(spark, d):
+def j10_p1_p2_type_scores(spark, d):
     p = wiki(spark, d)
     top, members = corpus.planned(raw(spark, d), p)
     s = corpus.type_scores(members, top.select("cluster_id", "name", "hints_hit"), p)
@@ -477,7 +557,7 @@ def p1_p2_j10_type_scores(spark, d):
 
 
 @query(f"WITH {O.CLUSTERS}, {O.PAGES}, {O.type_scores()} SELECT cluster_id, candidates[1] AS page_type, {O.joined('candidates')} AS candidates FROM ptypes")
-def p3_o8_page_types(spark, d):
+def o8_p3_page_types(spark, d):
     return corpus.planned(raw(spark, d), wiki(spark, d))[0].select("cluster_id", "page_type", joined(F.col("candidates")).alias("candidates"))
 
 
@@ -486,8 +566,21 @@ def a8_tag_types(spark, d):
     return corpus.tag_types(wiki(spark, d))
 
 
-@query()
-def p4_breakdown(spark, d):
+def _breakdown_sql() -> str:
+    rows = []
+    for t in K.TYPES:
+        words = ", ".join(f"CASE WHEN max(CASE WHEN contains(hay, {O.q(w.lower())}) THEN 1 ELSE 0 END) = 1 THEN {O.q(K.HIT_WORD.format(w))} END" for w in K.TYPE_KEYWORDS[t])
+        marks = f"sum(CASE WHEN title_rank <= 3 AND {O.like('lower(title)', O.any_of(K.TITLE_MARKS[t]))} THEN 1 ELSE 0 END)"
+        rows.append(f"SELECT cluster_id, {O.q(t)} AS ptype, list_concat(list_filter([{words}], lambda x: x IS NOT NULL), list_transform(range(CAST({marks} AS BIGINT)), lambda i: {O.q(K.HIT_TITLE.format(K.TITLE_MARKS[t][0]))})) AS hits FROM tr GROUP BY cluster_id")
+    return f"""WITH {O.CLUSTERS}, {O.PAGES}, {O.type_scores()}, hw AS ({" UNION ALL ".join(rows)}),
+ht AS (SELECT cluster_id, ptype, types.score, rank, CASE WHEN boost IS NULL THEN hits ELSE list_append(hits, {O.q(K.HIT_TAGS)} || CAST(boost AS BIGINT)) END AS hits FROM types JOIN hw USING (cluster_id, ptype) LEFT JOIN bo USING (cluster_id, ptype)),
+hx AS (SELECT cluster_id, string_agg('- **' || ptype || '**: ' || CAST(score AS BIGINT) || {O.q(K.POINTS)} || CASE WHEN len(hits) > 0 THEN array_to_string(hits, '、') ELSE {O.q(K.NO_HIT)} END, chr(10) ORDER BY rank) AS lines,
+  max(CASE WHEN rank = 1 THEN score END) AS one, max(CASE WHEN rank = 2 THEN score END) AS two, max(CASE WHEN rank = 1 THEN ptype END) AS best_type FROM ht GROUP BY cluster_id)
+SELECT cluster_id, CASE WHEN one <= 0 THEN {O.q(K.NO_SCORE)} ELSE {O.q(K.BREAKDOWN)} || chr(10) || lines || chr(10) || {O.q(K.BEST_TYPE)} || best_type || {O.q(K.LEAD)} || CAST(one - two AS BIGINT) || ')' END AS breakdown FROM hx"""
+
+
+@query(_breakdown_sql())
+def type_breakdown_p4(spark, d):
     p = wiki(spark, d)
     top, members = corpus.planned(raw(spark, d), p)
     return corpus.type_breakdown(corpus.type_scores(members, top.select("cluster_id", "name", "hints_hit"), p))
@@ -625,6 +718,22 @@ def r6_o6_shared_terms(spark, d):
     return links.shared_terms(top, wiki(spark, d)).select("cluster_id", "page_ord", n(F.col("rank")).alias("rank"), "term")
 
 
+def _own_clusters(spark, d) -> DataFrame:
+    """Every page as a cluster of its own title and title words: pages that share words meet, none meets itself."""
+    p = wiki(spark, d)
+    return p.select(F.col("page_ord").alias("cluster_id"), "title", T.tokens("title").alias("anchor_terms"))
+
+
+@query(
+    f"""WITH {O.PAGES}, sa AS (SELECT DISTINCT page_ord AS cluster_id, title AS c_title, unnest({O.tokens("title")}[1:10]) AS term FROM pages), sb AS (SELECT DISTINCT page_ord, title, unnest(list_concat({O.tokens("title")}, list_transform(tags, lambda t: {O.normal_token("t")}))) AS term FROM pages),
+x AS (SELECT cluster_id, page_ord, term, c_title, title, row_number() OVER (PARTITION BY cluster_id, page_ord ORDER BY length(term) DESC, term DESC) AS rank FROM sa JOIN sb USING (term) QUALIFY rank <= 6)
+SELECT cluster_id, page_ord, CAST(rank AS BIGINT) AS rank, term FROM x WHERE c_title <> title"""
+)
+def f10_r6_o6_shared_terms_of_pages(spark, d):
+    p, own = wiki(spark, d), _own_clusters(spark, d)
+    return links.not_self(links.shared_terms(own, p), own, p).select("cluster_id", "page_ord", n(F.col("rank")).alias("rank"), "term")
+
+
 _CONFLICT = f"""{_SCORES}, {_SHARED},
 sl AS (SELECT cluster_id, page_ord, list(term) AS shared FROM shared GROUP BY cluster_id, page_ord),
 c6 AS (SELECT * FROM (SELECT m.cluster_id, coalesce(nullif(text, ''), preview) AS x, row_number() OVER (PARTITION BY m.cluster_id ORDER BY title, doc_ord) AS title_rank FROM members m WHERE cluster_id IN (SELECT cluster_id FROM planned)) WHERE title_rank <= 6),
@@ -678,7 +787,19 @@ def u1_u2_u5_u6_repaired_pages(spark, d):
     return links.apply_repairs(p, links.repair_plan(p, _issues(spark, d), "full-apply")).select("page_ord", "new_text", "changed")
 
 
-@query()
+def _backlinked_sql(back: str = "back") -> str:
+    """U4 over the rows of a table of backlinks (cluster_id, rank, page_ord, section, line): lines put in one after another."""
+    return f"""todo AS (SELECT page_ord, section, line, row_number() OVER (PARTITION BY page_ord ORDER BY cluster_id, rank) AS k FROM {back} WHERE section <> {O.q(K.NO_SECTION)} AND score >= 8),
+steps AS (SELECT page_ord, text, CAST(0 AS BIGINT) AS k FROM pages WHERE page_ord IN (SELECT page_ord FROM todo)
+ UNION ALL SELECT page_ord, CASE WHEN contains(text, line) OR NOT contains(text, section) THEN text ELSE {_insert_sql("text", "section", "line")} END, k
+ FROM (SELECT *, {_section_sql_of("text", "section")} AS sec FROM (SELECT s.page_ord, s.text, todo.section, todo.line, todo.k FROM steps s JOIN todo ON todo.page_ord = s.page_ord AND todo.k = s.k + 1))),
+changed AS (SELECT s.page_ord, s.text AS new_text FROM (SELECT page_ord, arg_max(text, k) AS text FROM steps GROUP BY page_ord) s JOIN pages USING (page_ord) WHERE s.text <> pages.text)"""
+
+
+_BACK_LINES = "bl AS (SELECT *, '- 与 [[' || new_title || ']] 的关系：该页与“' || relation || '”主题存在直接关联，建议互相引用补全知识网络。' AS line FROM back)"
+
+
+@query(f"{_BACK.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_BACK_LINES}, {_backlinked_sql('bl')} SELECT page_ord, new_text FROM changed")
 def u4_backlinked_pages(spark, d):
     s, top, _, p = _scored(spark, d)
     return links.apply_backlinks(links.backlinks(s, top, p), p)
@@ -733,6 +854,38 @@ def x4_cluster_gaps(spark, d):
     return scout.cluster_gaps(wiki(spark, d))
 
 
+def _doc_pages(spark, d) -> DataFrame:
+    """The stored documents as pages without related names."""
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return raw(spark, d).select(F.col("doc_ord").alias("page_ord"), s("title").alias("title"), F.lit("paper").alias("page_type"), T.clean_array("tags").alias("tags"), F.array().cast("array<string>").alias("related"), s("text").alias("text"), F.col("modified_at").alias("updated"))
+
+
+_DOC_TAGS = f"t AS (SELECT DISTINCT doc_ord, coalesce(title, '') AS title, unnest({O.strings('tags')}) AS tag FROM raw_docs)"
+
+
+@query(f"WITH {_DOC_TAGS} SELECT tag, CAST(count(DISTINCT doc_ord) AS BIGINT) AS pages FROM t WHERE tag NOT IN (SELECT coalesce(title, '') FROM raw_docs) GROUP BY tag HAVING count(DISTINCT doc_ord) >= 3")
+def x4_cluster_gaps_of_docs(spark, d):
+    return scout.cluster_gaps(_doc_pages(spark, d)).select("tag", "pages")
+
+
+@query(
+    f"""WITH {_DOC_TAGS}, big AS (SELECT tag FROM t GROUP BY tag HAVING count(DISTINCT doc_ord) >= 5), b AS (SELECT * FROM t WHERE tag IN (SELECT tag FROM big)),
+g AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS together, max(CASE WHEN contains(x.title, x.tag) AND contains(x.title, y.tag) THEN 1 ELSE 0 END) AS bridged FROM b x JOIN b y ON x.doc_ord = y.doc_ord AND x.tag < y.tag GROUP BY x.tag, y.tag)
+SELECT tag_a, tag_b, CAST(together AS BIGINT) AS together, CASE WHEN together >= 3 THEN 'high' ELSE 'low' END AS grade FROM g WHERE bridged = 0"""
+)
+def x5_topic_bridges_of_docs(spark, d):
+    """With the rule's own five pages a tag."""
+    return scout.topic_bridges(_doc_pages(spark, d))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_ord, count(DISTINCT target) AS lost FROM (SELECT doc_ord, unnest({O.wikilinks("text")}) AS target FROM raw_docs) WHERE target NOT IN (SELECT coalesce(title, '') FROM raw_docs) GROUP BY doc_ord),
+x AS (SELECT doc_ord AS page_ord, {O.like("coalesce(title, '')", O.any_of(scout.WIDE_TITLES))} AS wide_title, len(regexp_extract_all(coalesce(text, ''), {O.q("(?m)^##[ " + chr(92) + "t]")})) >= 5 AS many_sections, coalesce(lost, 0) >= 3 AS broken_links FROM raw_docs LEFT JOIN e USING (doc_ord)) SELECT * FROM x WHERE wide_title OR many_sections OR broken_links"""
+)
+def x3_heavy_signals(spark, d):
+    return scout.overweight_signals(_doc_pages(spark, d))
+
+
 _CROSS = f"""WITH {O.PAGES}, t AS (SELECT DISTINCT page_ord, title, unnest(tags) AS tag FROM pages), big AS (SELECT tag FROM t GROUP BY tag HAVING count(DISTINCT page_ord) >= 2), b AS (SELECT * FROM t WHERE tag IN (SELECT tag FROM big)),
 g AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS together, max(CASE WHEN contains(x.title, x.tag) AND contains(x.title, y.tag) THEN 1 ELSE 0 END) AS bridged FROM b x JOIN b y ON x.page_ord = y.page_ord AND x.tag < y.tag GROUP BY x.tag, y.tag)
 SELECT tag_a, tag_b, CAST(together AS BIGINT) AS together, CASE WHEN together >= 3 THEN 'high' ELSE 'low' END AS grade FROM g WHERE bridged = 0"""
@@ -764,30 +917,41 @@ def x8_x9_priority(spark, d):
     return x.select(n(F.col("urgency")).alias("urgency"), n(F.col("value")).alias("value"), n(F.col("effort")).alias("effort"), n(F.col("score") * 10).alias("tenths"), "priority")
 
 
-@query(f"WITH c AS (SELECT '{scout.PATTERNS[2]}' AS pattern, target AS topic, refs FROM ({_SQL['x2_broken']}) UNION ALL SELECT '{scout.PATTERNS[1]}', tag, pages FROM ({_GAPS})), s AS (SELECT *, CASE WHEN refs > 15 THEN 3 WHEN refs >= 5 THEN 2 ELSE 1 END AS u, CASE WHEN refs > 20 THEN 3 WHEN refs >= 5 THEN 2 ELSE 1 END AS v, CASE WHEN pattern = 'cluster_gap' THEN 2 ELSE 3 END AS e FROM c), p AS (SELECT *, u * 4 + v * 4 + e * 2 AS t FROM s) SELECT pattern, topic, CAST(row_number() OVER (ORDER BY CASE WHEN t >= 25 THEN 1 WHEN t >= 15 THEN 2 ELSE 3 END, u DESC, CASE pattern WHEN 'cluster_gap' THEN 2 ELSE 3 END, topic) AS BIGINT) AS place FROM p QUALIFY place <= 10")
-def x10_x11_o11_queue(spark, d):
-    c = scout.candidates(wiki(spark, d)).where(F.col("pattern").isin("broken_concept", "cluster_gap"))
-    return scout.queue(scout.scored(c)).select("pattern", "topic", n(F.col("place")).alias("place"))
+_EVERY = f"""WITH ib AS (WITH {O.EDGES} SELECT title, inbound FROM inb), c AS (
+ SELECT 'thin' AS pattern, t.title AS topic, coalesce(inbound, 0) AS refs FROM ({_SQL['x1_thin']}) t LEFT JOIN ib ON ib.title = t.title
+ UNION ALL SELECT 'broken_concept', target, refs FROM ({_SQL['x2_broken']})
+ UNION ALL SELECT 'overweight', title, sections FROM ({_SQL['x3_heavy'].replace(_HEAVY, "SELECT * FROM (WITH " + O.PAGES + " SELECT page_ord, title, text FROM pages)").replace("chars > 1500", "chars > 5000").replace("chars >= 800", "chars >= 2000")})
+ UNION ALL SELECT 'cluster_gap', tag, pages FROM ({_GAPS})
+ UNION ALL SELECT 'cross_topic', tag_a || ' / ' || tag_b, together FROM ({_CROSS.replace(">= 2), b AS", ">= 5), b AS")})),
+s AS (SELECT *, CASE WHEN refs > 15 THEN 3 WHEN refs >= 5 THEN 2 ELSE 1 END AS u, CASE WHEN refs > 20 THEN 3 WHEN refs >= 5 THEN 2 ELSE 1 END AS v, CASE WHEN pattern IN ('overweight', 'cross_topic') THEN 1 WHEN pattern IN ('cluster_gap', 'stale') THEN 2 ELSE 3 END AS e FROM c),
+p AS (SELECT *, u * 4 + v * 4 + e * 2 AS t, list_position([{", ".join(O.q(x) for x in scout.SCAN_ORDER)}], pattern) AS scan, list_position([{", ".join(O.q(x) for x in scout.PATTERNS)}], pattern) AS place_of FROM s)"""
+_ORDER = "CASE WHEN t >= 25 THEN 1 WHEN t >= 15 THEN 2 ELSE 3 END, u DESC, place_of, topic"
 
 
-@query()
+@query(f"{_EVERY} SELECT pattern, topic, CAST(row_number() OVER (ORDER BY {_ORDER}) AS BIGINT) AS place FROM p QUALIFY place <= 10")
 def x10_x11_o11_queue_all(spark, d):
     """The queue of all patterns over the wiki pages; these have no date, so none is stale."""
     c = scout.candidates(wiki(spark, d), AS_OF)
     return scout.queue(scout.scored(c)).select("pattern", "topic", n(F.col("place")).alias("place"))
 
 
+@query(f"{_EVERY}, k AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place, count(*) OVER () AS n FROM p) SELECT pattern, topic, CAST(place AS BIGINT) AS place, CAST(greatest(n - 10, 0) AS BIGINT) AS waiting, place * 2 <= 20 AS searched FROM k WHERE place <= 10 AND n >= 2")
+def x11_brief(spark, d):
+    b = scout.brief(scout.scored(scout.candidates(wiki(spark, d))))
+    return b.select("pattern", "topic", n(F.col("place")).alias("place"), n(F.col("waiting")).alias("waiting"), "searched")
+
+
 @query()
 def x6_x10_x11_o11_queue_docs(spark, d):
     """The queue of all patterns, stale ones included, over the stored documents as pages; they hold no related names."""
-    s = lambda c: F.coalesce(F.col(c), F.lit(""))
-    p = raw(spark, d).select(F.col("doc_ord").alias("page_ord"), s("title").alias("title"), F.lit("paper").alias("page_type"), T.clean_array("tags").alias("tags"), F.array().cast("array<string>").alias("related"), s("text").alias("text"), F.col("modified_at").alias("updated"))
+    p = _doc_pages(spark, d)
     return scout.queue(scout.scored(scout.candidates(p, AS_OF))).select("pattern", "topic", n(F.col("place")).alias("place"))
 
 
-@query()
+@query(f"{_EVERY} SELECT pattern, CAST(scan AS BIGINT) AS scan, topic, CAST(refs AS BIGINT) AS refs, CAST(u AS BIGINT) AS urgency, CAST(v AS BIGINT) AS value, CAST(e AS BIGINT) AS effort, CAST(t AS BIGINT) AS tenths, CASE WHEN t >= 25 THEN 'high' WHEN t >= 15 THEN 'medium' ELSE 'low' END AS priority FROM p")
 def x7_x8_candidates(spark, d):
-    return scout.scored(scout.candidates(wiki(spark, d)))
+    x = scout.scored(scout.candidates(wiki(spark, d)))
+    return x.select("pattern", n(F.col("scan")).alias("scan"), "topic", "refs", n(F.col("urgency")).alias("urgency"), n(F.col("value")).alias("value"), n(F.col("effort")).alias("effort"), n(F.col("score") * 10).alias("tenths"), "priority")
 
 
 _HOST = "regexp_replace(lower(regexp_extract(trim(link), '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www[.]', '')"
@@ -798,7 +962,7 @@ def x12_source_grades(spark, d):
     return scout.source_grades(articles(spark, d).where("link IS NOT NULL").select(F.trim("link").alias("url"))).groupBy("host", "grade").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{_EVERY} SELECT topic, pattern AS type, CASE WHEN t >= 25 THEN 'high' WHEN t >= 15 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN refs > 0 THEN CAST(CAST(refs AS BIGINT) AS VARCHAR) END AS evidence, 'arxiv.org' AS sources, CASE WHEN u > 1 THEN 'review' END AS next_step FROM p WHERE topic = '' OR refs = 0 OR u = 1")
 def x14_incomplete_cards(spark, d):
     c = scout.scored(scout.candidates(wiki(spark, d)))
     cards = c.select("topic", F.col("pattern").alias("type"), "priority", F.when(F.col("refs") > 0, F.col("refs").cast("string")).alias("evidence"), F.lit("arxiv.org").alias("sources"), F.when(F.col("urgency") > 1, F.lit("review")).alias("next_step"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.shared import BROADCAST_BYTES, materialize
 
 #: D9; missing keys are normal, so the schema is never inferred.
 ARTICLE = "title string, digest string, link string, url string, source string, content_url string, update_time long, create_time long, content string, content_text string, content_markdown string, content_html string, content_length long, fetch_error string"
@@ -35,13 +36,19 @@ def markdown_files(spark: SparkSession, folder: str, recursive: bool = True) ->
 
 
 def with_order(files: DataFrame, name: str = "doc_ord") -> DataFrame:
-    """Files numbered from 0 in the order of their path's parts: ranges are sorted and counted, then numbered range by range."""
-    parts = F.split("rel_path", "/")
-    ranged = files.withColumn("__p", parts).repartitionByRange("__p").sortWithinPartitions("__p").withColumn("__part", F.spark_partition_id())
+    """Files numbered from 0 in the order of their path's parts; rows of one path share its number, a null path has none.
+
+    Paths alone, without texts, are sorted by ranges into a table; the ranges are counted and their rows numbered in
+    that table, so every reader sees the same ranges. Texts then meet the numbers by path (broadcast by measured size).
+    """
+    paths = files.where("rel_path IS NOT NULL").select("rel_path").distinct().withColumn("__p", F.split("rel_path", "/"))
+    ranged = materialize(paths.repartitionByRange("__p").sortWithinPartitions("__p").withColumn("__part", F.spark_partition_id()), "order")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     r = F.row_number().over(Window.partitionBy("__part").orderBy("__p")) - 1
-    return ranged.join(F.broadcast(before.drop("__n")), "__part").withColumn(name, (r + F.col("__before")).cast("long")).drop("__p", "__part", "__before")
+    numbered = ranged.join(F.broadcast(before.drop("__n")), "__part").select("rel_path", (r + F.col("__before")).cast("long").alias(name))
+    size = ranged.agg(F.coalesce(F.sum(F.length("rel_path") * 4 + 48), F.lit(0))).first()[0]
+    return files.join(F.broadcast(numbered) if size <= BROADCAST_BYTES else numbered, "rel_path", "left").select(*files.columns, name)
 
 
 def article_list(spark: SparkSession, path: str) -> DataFrame:
