@@ -282,7 +282,7 @@ def test_standing_lines_against_brute_force(spark, monkeypatch):
         if x.id is not None and text[x.id] is not None:
             gone = set(x.line_nos)
             assert x.body == "\n".join(s for k, s in enumerate(text[x.id].split("\n")) if k not in gone)
-    monkeypatch.setattr(boilerplate, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(boilerplate.shared, "BROADCAST_BYTES", -1)
     again = boilerplate.mark_lines(df.repartition(6)).collect()
     assert {(x.id, k) for x in again for k in x.line_nos} == want
     assert boilerplate.mark_lines(df.where("false")).count() == 0
@@ -349,6 +349,16 @@ def test_plan_is_close_to_the_bound():
     assert sum(t for _, t in plan) <= 1.01 * np.ceil(lengths.sum() / 2048)
 
 
+@pytest.mark.parametrize("kind", ["uniform", "lognormal", "normal"])
+def test_patterns_carry_most_items(kind):
+    r = np.random.default_rng(0)
+    lengths = {"uniform": lambda: r.integers(1, 2049, 100_000), "lognormal": lambda: r.lognormal(6.3, 0.6, 100_000), "normal": lambda: r.normal(900, 200, 100_000)}[kind]()
+    counts = np.bincount(np.clip(lengths, 1, 2048).astype(int), minlength=2049)
+    plan, placed = packing.pattern_plan(counts)
+    assert placed >= 0.78 * 100_000
+    assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(counts, 2048))
+
+
 def test_nnls():
     a = np.array([[1.0, 0], [0, 1], [1, 1]])
     assert np.allclose(packing.nnls(a, a @ [2.0, 3.0]), [2, 3], atol=1e-4)
@@ -400,8 +410,10 @@ def test_search_finds_all_occurrences():
     assert got == want and len(at) == len(want)
 
 
-def test_leaks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEMS_PER_PASS", 7)
+@pytest.mark.parametrize("scan", [14, 1_000])
+def test_leaks_against_brute_force(spark, monkeypatch, scan):
+    monkeypatch.setattr(leaks, "ITEMS_PER_TABLE", 7)
+    monkeypatch.setattr(leaks, "ITEMS_PER_SCAN", scan)
     r = random.Random(7)
     items = [(i, words(r, 14), "q") for i in range(20)] + [(50, None, ""), (51, "短", ""), (52, "", ""), (None, "x" * 40, ""), (0, None, "")]
     docs = []
@@ -416,7 +428,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     for i, p, _ in items:
         s = stretches(letters_digits(p), 8) if p and len(letters_digits(p)) >= 8 else set()
         for j, t, _ in docs:
-            if s and j is not None and t and len(s & stretches(letters_digits(t), 8)) / len(s) >= 0.5 and i is not None:
+            if s and j is not None and t and len(s & stretches(letters_digits(t), 8)) / len(s) >= leaks.LEAK_SHARE and i is not None:
                 want.add((j, i))
     got = [(x.doc_id, x.item_id) for x in leaks.find_leaks(d, q).collect()]
     assert set(got) == want and len(got) == len(want)
