@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,10 +38,58 @@ WEAK = (
     "傻逼", "傻比", "煞笔", "白痴", "人渣", "杂种", "废物", "垃圾", "畜生", "贱货", "脑残", "蠢货", "混蛋", "王八蛋", "智障", "狗东西", "窝囊废", "贱人", "狗杂碎", "丑八怪", "败类", "他妈的",
     "moron", "scumbag", "bastard", "loser", "idiot", "imbecile", "clown", "trash", "dumbass", "bitch", "whore", "slut", "retard", "asshole", "vermin", "subhuman", "fucking", "cunt", "faggot",
 )
+# Slots whose products are strong terms too, by category: what is done or wished, and to whom; what is offered, and of whom.
+SLOTS = {
+    "abusive": (
+        (("我要", "老子要", "老子今晚就", "早晚", "迟早", "信不信我", "小心我", "一定要", "看我不"), ("弄死", "打死", "砍死", "捅死", "掐死", "整死", "搞死", "杀了", "宰了", "废了", "剁了"), ("你",)),
+        (("你们全家", "你全家", "你爹妈", "祝你", "祝你们", "你怎么不", "你赶紧", "你早点", "你们早点", "你咋不"), ("去死", "死光", "早点死", "不得好死", "死绝", "暴毙", "出门被车撞")),
+        (("你这个", "你个", "你这种", "你就是个", "你真是个", "你们这群", "你们这帮", "一群", "死"), ("蠢猪", "不要脸的东西", "臭婊子", "死全家的", "缺德玩意", "狗娘养的", "没脑子的", "臭傻子", "贱骨头", "窝囊废", "狗杂种")),
+        (("i will", "i ll", "i am going to", "i m going to", "gonna", "we will", "we ll", "someone should"), ("kill", "murder", "stab", "strangle", "shoot", "hurt", "bury", "hunt", "beat", "destroy"), ("you",)),
+        (("i will", "i ll", "going to", "gonna"), ("break", "smash", "cut off", "rip off"), ("your",), ("legs", "face", "neck", "skull", "head", "arms", "teeth", "bones")),
+        (("go", "please", "just", "already", "hope you"), ("die", "rot", "choke", "burn"), ("in a fire", "in hell", "alone", "already", "slowly")),
+        (("rot in", "burn in", "go to", "see you in"), ("hell you", "hell and die")),
+        (("hang", "kill", "shoot", "drown"), ("yourself",)),
+        (("you",), ("stupid", "fucking", "worthless", "dumb", "filthy", "disgusting", "pathetic", "ugly", "miserable", "little", "goddamn"), ("bitch", "pig", "coward", "rat", "creep", "freak", "cow", "waste of space", "piece of garbage", "piece of trash")),
+    ),
+    "hateful": (
+        (("这群", "这帮", "那群", "那帮", "这些", "那些", "他们"), ("人渣都该死", "畜生都该死", "劣等人", "低等人种", "杂种滚出去")),
+        (("统统", "全都", "通通", "都"), ("该死", "该灭", "该被灭绝", "该滚出去", "该被清洗")),
+        (("把这些", "把这群", "把那帮", "把他们", "把这帮"), ("难民", "移民", "外地人", "教徒", "黑鬼", "异族", ""), ("都灭光", "赶尽杀绝", "全杀了", "全部消灭", "都烧死")),
+        (("那种人", "这种人", "这些人", "那帮人", "他们"), ("天生", "骨子里", "生来", "从根上"), ("低等", "劣等", "下贱", "肮脏", "是贼", "坏种")),
+        (("all of them", "they all", "these people", "those people"), ("should be", "must be", "deserve to be", "need to be"), ("gassed", "exterminated", "wiped out", "shot", "deported and shot", "burned", "killed", "hanged")),
+    ),
+    "sexual": (
+        (("hot", "horny", "busty", "slutty"), ("girls", "milfs", "teens", "babes", "chicks", "models", "moms", "housewives")),
+        (("free", "live", "xxx", "hardcore"), ("porn", "sex cams", "xxx videos", "sex chat", "cams live", "fuck videos")),
+        (("send", "trade", "leaked"), ("nudes",)),
+        (("spread her", "between her", "opened her"), ("legs and he thrust", "naked thighs", "legs and he entered", "legs as he")),
+        (("免费看", "在线看", "高清", "无码", "最新"), ("黄片", "黄色视频", "做爱视频", "成人电影", "无码高清", "三级片")),
+        (("裸聊", "约炮", "包夜", "口爆", "内射"), ("妹子", "美女", "少妇", "学生妹", "加微信", "加薇信", "在线", "价格")),
+    ),
+}
+# Words that degrade a group if it is said to be them, and the groups: a verb of being stands between, or nothing but a few words.
+DEHUMAN = (
+    "vermin", "parasites", "cockroaches", "savages", "subhuman", "scum", "filth", "rats", "pigs", "animals", "a plague", "garbage",
+    "寄生虫", "蟑螂", "畜生", "牲口", "劣等货", "劣等", "祸害", "害虫", "渣滓", "贱种", "蝗虫",
+)
+GROUP = re.compile(
+    r"(?:(?:immigrants|foreigners|refugees|migrants|muslims|jews|christians|blacks|whites|asians|arabs|gypsies|gays|lesbians|women|men|peasants|the poor|(?:these|those|such) (?:people|\w+s))\s+(?:are|were|is)|\bthey (?:are|were))"
+    r"(?: (?:all|just|nothing but|like|only|a bunch of|no better than|filthy|dirty|lazy|subhuman|disgusting|worse than))*\s*$"
+    r"|(?:(?:这|那)(?:群|帮|些|种|类)[^,，。!?、]{0,8}|他们|她们|外地人|乡下人|移民|难民|教徒|[^,，。!?、]{1,4}(?:族|教徒|地方)的?人)(?:[^,，。!?、]{0,3})(?:就是|都是|全是|不过是|简直是|天生是|是)[^,，。!?、]{0,4}$"
+)
+#: Degrading words that other things are too: they need a group named by what it is, not "they".
+LITERAL = frozenset({"rats", "pigs", "animals", "parasites", "cockroaches", "garbage"})
 # Words of a sentence that speaks to someone; words beside a quotation that name a term instead of using it; compounds that a term is part of.
 ADDRESS = re.compile(r"你|您|楼主|评论里那个|全家|谁家|这种|\byou(?:r|re)?\b|\bur?\b|whoever")
 NAMING = re.compile(r"敏感词|词表|审核|过滤|取证|举报|屏蔽|留言会|moderat|term to hide|lists? [\"“]|word list|blocklist|slur list|性教育|读本|医生|误区|防治|疾病|癌|cancer|screening|census|museum|博物馆|文书")
 TECHNICAL = re.compile(r"(?:废物|垃圾)(?:再?利用|回收|分类|处理|处置|焚烧|填埋|排放|债|邮件|短信|桶|箱|袋|场|站|车)|寄生虫病|性教育|勃起障碍|sex ratio|zombie process|naked put|dumb terminal|junk bond|裸卖空|kill -9|先 ?kill|trash (?:can|bin|collection|folder)")
+#: Before a weak Latin term: someone is spoken to, or it is a call by itself.
+SPOKEN = re.compile(
+    r"\b(?:you|u|ya)(?:'?re| are|r| were|'ve always been| look like| sound like)?(?: (?:are|just|such|all|so|a|an|the|complete|completely|total|absolute|utter|stupid|fucking|dumb|worthless|little|pathetic|bloody|filthy|goddamn|damn|real|nothing but|piece of|bunch of|biggest|bit of|kind of|old|ugly|lazy|\w+ly))*\s*$"
+    r"|(?:^|[,;:!?.\"“]|\bwhat an?|\bshut up|\bhey|\bonly an?|\bsuch an?)\s*(?:(?:absolute|complete|total|fucking|stupid|dumb|little|pathetic|worthless)\s+)*$"
+)
+#: After a call: its clause ends, or it is said whose it is.
+ENDS = re.compile(r"s?\s*(?:$|[\n,.!?;:…。!?、\"”]|you\b|like you)")
 #: After a term: a word that makes it one of a list of words. Before a quotation: it is a mere speaker's label, or it speaks to someone in scare quotes.
 LISTED = re.compile(r"(?:、[^,，。、]{1,12}){0,8}(?:等|这类|这种|这个|之类的?|一类|一)(?:敏感)?(?:词|字样|字眼|留言|说法)")
 LABEL = re.compile(r"[\s\-*>#]*(?:(?:网友|用户|楼主|读者|匿名|reader|user|guest)\s*\d*\s*:)?\s*")
@@ -56,6 +105,8 @@ FUZZY_FROM = {"han": 5, "latin": 9}
 
 # Digits and signs that stand for letters beside Latin letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Words that a misspelt term could be.
+COMMON = frozenset({"lose", "moon", "morn", "cown", "lown", "trah", "rash", "losre"})
 _SENTENCE = re.compile(r"\n|[。!?！？]+|(?<=[a-z]{2})\.(?=\s|$)")
 
 
@@ -126,11 +177,28 @@ class Trie:
         return states
 
 
+def slot_terms() -> list[tuple[str, str]]:
+    """(term, category) of the products of all slots."""
+    return [("".join(p), c) for c, groups in SLOTS.items() for g in groups for p in itertools.product(*g)]
+
+
+def misspellings(term: str) -> set[str]:
+    """A Latin term of five letters with two neighbours swapped or a vowel inside left out; common words are none."""
+    if len(term) < 5 or not term.isascii():
+        return set()
+    swapped = {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(1, len(term) - 1)}
+    short = {term[:i] + term[i + 1 :] for i in range(1, len(term) - 1) if term[i] in "aeiou"}
+    return (swapped | short) - {term} - COMMON
+
+
 class Lexicon:
     """Terms, the tries, and an automaton of anchors: of a term with one edit, its first or its last half is unchanged."""
 
     def __init__(self) -> None:
-        self.terms: list[tuple[str, str, bool]] = [(_bare(t), c, True) for c, ts in STRONG.items() for t in ts] + [(_bare(t), "abusive", False) for t in WEAK]
+        strong = dict.fromkeys([*((_bare(t), c) for c, ts in STRONG.items() for t in ts), *((_bare(t), c) for t, c in slot_terms())])
+        weak = dict.fromkeys([*(_bare(t) for t in WEAK), *sorted({m for t in WEAK for m in misspellings(_bare(t))})])
+        self.terms: list[tuple[str, str, bool]] = [*((t, c, True) for t, c in strong), *((t, "abusive", False) for t in weak), *((_bare(t), "hateful", False) for t in DEHUMAN)]
+        self.dehuman = len(self.terms) - len(DEHUMAN)  # the number of the first degrading word
         self.forward, self.backward = Trie(), Trie()
         anchors: dict[str, list[tuple[str, int, int]]] = {}
         for i, (t, _, strong) in enumerate(self.terms):
@@ -249,6 +317,12 @@ def _factor(folded: str, a: int, b: int) -> float:
     return W_NAMED if NAMING.search(before + folded[span[0]]) or NAMING.search(after) else W_QUOTED
 
 
+def _spoken(folded: str, start: int, a: int, b: int) -> bool:
+    """Whether a weak Latin term at (a, b) is said to someone: of them, or as a call that ends its clause."""
+    m = SPOKEN.search(folded, start, a)
+    return bool(m) and (m.group().startswith(("you", "u", "ya")) or bool(ENDS.match(folded, b)))
+
+
 def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tuple[float, str]]:
     """(score, category) of the sentences with terms; found: (term, start, end) in folded."""
     lex = lexicon()
@@ -261,7 +335,7 @@ def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tupl
         start, end = cuts[k], cuts[min(k + 1, len(cuts) - 1)]
         sentence = folded[start:end]
         strong: dict[int, float] = {}
-        weak = 0.0
+        weak = degrades = 0.0
         score = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
         for t, a, b in terms:
             word, _, is_strong = lex.terms[t]
@@ -271,16 +345,24 @@ def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tupl
             factor = _factor(folded, a, b)
             if is_strong:
                 strong[t] = max(factor, strong.get(t, 0.0))
+            elif t >= lex.dehuman:
+                said = GROUP.search(folded, max(start, a - WINDOW), a)
+                if said and not (word in LITERAL and said.group().lstrip().startswith("they")):
+                    degrades = max(degrades, factor)
             else:
-                weak = max(weak, factor)
-        for t, factor in strong.items():
-            score[lex.terms[t][1]] += W_STRONG * factor
-        score["abusive"] += (W_ADDRESSED if ADDRESS.search(sentence) else W_WEAK) * weak
+                spoken = _spoken(folded, max(start, a - WINDOW), a, b) if word.isascii() else ADDRESS.search(sentence)
+                weak = max(weak, factor * (W_ADDRESSED if spoken else W_WEAK))
+        for c in score:  # quoted terms don't add up to a use
+            own = [f for t, f in strong.items() if lex.terms[t][1] == c]
+            score[c] = W_STRONG * (sum(f for f in own if f == 1.0) or max(own, default=0.0))
+        score["abusive"] += weak
+        score["hateful"] += W_STRONG * degrades
         best = max(score, key=lambda c: score[c])
-        if strong:
+        if strong and degrades == 0:
             best = max({lex.terms[t][1] for t in strong}, key=lambda c: score[c])
-        if sum(score.values()) > 0:
-            out.append((sum(score.values()), best))
+        total = sum(v for v in score.values() if v >= W_WEAK) or max(score.values())
+        if total > 0:
+            out.append((total, best))
     return out
 
 
