@@ -339,6 +339,8 @@ def score_sentences(folded: str, found: list[tuple[int, int, int]]) -> list[tupl
         score = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
         for t, a, b in terms:
             word, _, is_strong = lex.terms[t]
+            if "、" in folded[a:b]:
+                continue  # of two words of a list
             if word.isascii() and ((a > 0 and "a" <= folded[a - 1] <= "z") or (b < len(folded) and "a" <= folded[b : b + 1] <= "z")):
                 if not is_strong or len(word) < 9:
                     continue  # inside a longer word
