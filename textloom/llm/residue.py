@@ -63,9 +63,52 @@ PLACEHOLDER = re.compile(
 )
 #: Words of a sentence that speaks about a placeholder instead of leaving one.
 MENTION = re.compile(r"模板里|模板中|变量|脚本中|正则|占位符|stands for|in the template|placeholder|variable|regex|template engine|render\(|printf|默认值|替换成|单元测试|配置项|语法|ctx\)")
+# Words without which none of the general forms below can match; they only call for a look at their segment.
+HINTS = (
+    "javascript", "script", " js ", "脚本", "not found", "exist", "error", "denied", "forbidden", "unavailable", "not available", "no longer available", "removed", "deleted", "timed out", "went wrong", "try again", "be found", "failed to load",
+    "不存在", "删除", "下架", "屏蔽", "失败", "无法", "找不到", "权限", "维护", "繁忙", "出错", "超时", "失效", "不可用", "待定", "待补", "待填", "xxx", "tbd", "tba", "text here", "content here", "copy here", "title here", "dummy text", "sample text", "filler text", "此处", "这里添加", "某某",
+)
+#: General forms of a notice that makes up its segment, from the segment's start, by kind.
+FORMS = {
+    "script": re.compile(
+        r"(?:(?:sorry|note|notice|warning|error)\b[,:!. ]*)?(?:please |kindly |you (?:need|have|must) (?:to )?|to (?:use|view|see|continue|access|read)[^.\n]{0,40}?,? ?)+(?:enable|re-enable|switch|turn|allow|activate|permit)\b[^.\n]{0,25}?\b(?:javascript|scripts?|scripting|js)\b[^.\n]{0,70}"
+        r"|(?:this|the|our) (?:site|website|web site|page|app|application|content|service|feature)[^.\n]{0,30}\b(?:requires?|needs?|depends on|works? only with)\b[^.\n]{0,20}\b(?:javascript|scripts?|scripting)\b[^.\n]{0,60}"
+        r"|(?:it (?:looks like|seems) )?(?:your browser[^.\n]{0,40})?\b(?:javascript|scripts?)\b[^.\n]{0,20}\b(?:is|are|has been|have been)?\s?(?:disabled|blocked|not (?:enabled|supported|available)|turned off|switched off)[^.\n]{0,70}"
+        r"|(?:检测到|提示|抱歉|对不起|注意)?[,: ]*(?:您的|你的|当前)?浏览器[^。\n]{0,8}(?:不支持|禁用了?|关闭了?|未开启|未启用|屏蔽了?)[^。\n]{0,4}(?:javascript|脚本|js)[^。\n]{0,24}"
+        r"|[^。,，\n]{0,14}[,，]?(?:请|需要?|须)(?:您|你|先)?(?:在[^。,\n]{0,8})?(?:启用|开启|打开|允许)[^。\n]{0,6}(?:javascript|脚本|js)[^。\n]{0,24}"
+    ),
+    "error": re.compile(
+        r"(?:(?:sorry|oops|whoops|error|we(?:'re| are) sorry)\b[,:!. ]*)?(?:but )?(?:the |this |that |your )?(?:requested |web ?)?(?:page|content|article|post|resource|url|link|file|site|website|server|service|request|account|address)\b[^.\n]{0,45}?"
+        r"(?:(?:could|can)(?:n't| ?not) be (?:found|loaded|displayed|completed|processed|reached)|(?:was|were) not found|not found|does(?:n't| not) exist|(?:is|are) (?:currently |temporarily |no longer )?(?:unavailable|not available|available)(?! (?:in|for|from|at|on|with|to))|has been (?:removed|deleted|denied|blocked|moved)|encountered an? [^.\n]{0,30}?error|timed out|failed to load|is (?:down|under maintenance))[^.\n]{0,60}"
+        r"|(?:http )?(?:error )?(?:code )?[45]\d\d\b[\s:.\-]*[^.\n]{0,50}"
+        r"|(?:access|permission)(?: to [^.\n]{0,40}?)? ?(?:has been |is |was )?(?:denied|forbidden|blocked|restricted)[^.\n]{0,40}"
+        r"|(?:oops|sorry)?[,!. ]*(?:something went wrong|an? (?:unexpected |internal |unknown |server |application )*error (?:has )?occurred)[^.\n]{0,50}"
+        r"|(?:please )?(?:refresh|reload|retry|try again|check your (?:network|connection|internet)|go back to the home)[^.\n]{0,50}"
+        r"|(?:抱歉|对不起|很遗憾|温馨提示|提示|出错了)?[,:!。 ]*(?:您?所?(?:访问|请求|查看|浏览|打开)的)?(?:该|此|本|当前|这个)?(?:页面|内容|文章|本文|网页|网站|站点|链接|资源|图文|帖子|视频|账号|公众号|服务|系统|服务器|本文)(?:已经?|暂时|正在|目前|被|可能|因[^。\n]{0,12}?)*(?:不存在|(?:作者|发布者|发布人|管理员|平台)?(?:自行)?(?:删除|下架|屏蔽|移除|封禁)|无法(?:找到|访问|显示|打开|查看|加载)|加载失败|打开失败|访问失败|找不到了?|失效|过期|维护中?|升级中?|繁忙|出错了?|出现异常|发生错误|超时|不可用)[^。\n]{0,24}"
+        r"|(?:抱歉|对不起)?[,: ]*(?:您|你)?(?:没有|暂无|无)(?:访问|查看|浏览|阅读|操作)?权限[^。\n]{0,20}"
+    ),
+    "template": re.compile(
+        r"[(（\[【]?(?:此处|这里|请在此处?|请在这里)(?:添加|补充|填写|插入|输入|放置?|替换为?)[^)）\]】。\n]{0,20}[)）\]】]?"
+        r"|(?:标题|作者|正文|内容|摘要|日期|导语|来源|title|author|summary|date|body)\s*[:：]?\s*(?:待定|待补充?|待填写?|x{3,}|某某某?|tbd|tba|n/a)"
+    ),
+    "filler": re.compile(
+        r"(?:please )?(?:insert|replace|put|enter|type|add|place) (?:this |your |the |some |own )*(?:text|content|copy|title|headline|description|paragraph|body|words)s?\b(?: (?:here|with [^.\n]{0,40}))"
+        r"|(?:this is |here is |some )?(?:a |an )?(?:dummy|placeholder|sample|filler) (?:text|copy|content|paragraph)\b[^.\n]{0,40}"
+        r"|(?=[^\n]*[^\W\d_])((?!哈|呵|嘿|lol|ha)[^\n]{2,40}?)(?:[\s,.;、,。]*\1){2,}[\s.。]{0,3}"
+    ),
+}
+#: Unfilled slots as they are spelt, before folding: all capitals in brackets; a plain name in single braces.
+SLOT = re.compile(
+    r"\[(?:(?:(?:INSERT|ENTER|ADD)[ _][A-Z]|YOUR|FULL|FIRST|LAST|COMPANY|CLIENT|CUSTOMER|RECIPIENT|PRODUCT|CITY|EMAIL|PHONE|ADDRESS|TITLE|AUTHOR)[A-Z _/'-]{0,40}|[A-Z]{3,}(?:[ _][A-Z]{2,})+)\]"
+    r"|<(?:(?:FIRST|LAST|FULL|YOUR|USER|COMPANY)[ _])?(?:NAME|DATE|TITLE|AUTHOR|EMAIL|COMPANY|ADDRESS|CITY)>"
+    r"|(?<![$\w\\{])\{(?:(?:first|last|full|user|customer|client|company|product|order|recipient)_?)?(?:name|title|date|email|company|city|address|author)\}(?!\})"
+    r"|\$(?:title|date|name|author|content|summary|url|email)\$"
+)
 QUOTES = "`'\"“”「」『』‘’"
 #: A segment is residue if phrases cover this share of it; a page is an error page if residue covers this share of it.
 SEGMENT_SHARE, PAGE_SHARE = 0.6, 0.5
+#: Characters that a segment of a general form has at most: the forms are bounded, so that none is lost.
+LONGEST_FORM = 400
 
 _SPLIT = re.compile(r"\n|(?<=[。!?;])|(?<=[a-z]{2}\.)(?= ?[a-z一-鿿])")
 _SPACE = re.compile(r"\s+")
@@ -83,6 +126,9 @@ def automaton() -> ahocorasick.Automaton:
             a.add_word(p, (kind, len(p)))
     for w in LATIN_MARKS:
         a.add_word(w, ("latin", len(w)))
+    for w in HINTS:
+        if w not in a:
+            a.add_word(w, ("hint", len(w)))
     a.make_automaton()
     return a
 
@@ -97,32 +143,41 @@ def score_text(text: str | None) -> tuple[str | None, float, int]:
     folded = fold_str(text)
     hits = [(end - n + 1, end + 1, kind) for end, (kind, n) in automaton().iter(folded)]
     fields = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(folded)] if any(c in folded for c in "{<_@[【%") else []
+    if any(c in text for c in "{<[$"):
+        fields = sorted({*fields, *[(m.start(), m.end()) for m in SLOT.finditer(text)]})
     if not fields and not any(k != "frame" for _, _, k in hits):
         return None, 0.0, 0
-    total = len(_SPACE.sub("", folded))
     chars = dict.fromkeys(("template", "filler", "error", "script"), 0)
-    start = 0
-    cuts = _cuts(text, folded)
-    h = f = 0
-    hits.sort()
-    for end in [*cuts, len(folded)]:
-        while h < len(hits) and hits[h][0] < start:
-            h += 1
-        while f < len(fields) and fields[f][0] < start:
-            f += 1
-        h2, f2 = h, f
-        while h2 < len(hits) and hits[h2][0] < end:
-            h2 += 1
-        while f2 < len(fields) and fields[f2][0] < end:
-            f2 += 1
-        if h2 > h or f2 > f:
-            kind, n = _segment(folded, start, end, hits[h:h2], fields[f:f2])
-            if kind:
-                chars[kind] += n
-        start = end
+    # segments are looked at only in lines with a hit
+    at = sorted([*[(x, None) for x in hits], *[(x, 0) for x in fields]], key=lambda x: x[0][:2])
+    k = 0
+    while k < len(at):
+        low = folded.rfind("\n", 0, at[k][0][0]) + 1
+        high = folded.find("\n", at[k][0][0])
+        high = len(folded) if high < 0 else high
+        last = k
+        while last < len(at) and at[last][0][0] <= high:
+            last += 1
+        if all(f is None and x[2] == "frame" for x, f in at[k:last]):
+            k = last
+            continue
+        start = low
+        for end in [*_cuts(text[low:high], folded[low:high], low), high + 1]:
+            here = k
+            while k < last and at[k][0][0] < end:
+                k += 1
+            if k > here:
+                kind, n = _segment(folded, start, min(end, len(folded)), [x for x, f in at[here:k] if f is None], [x for x, f in at[here:k] if f == 0])
+                if kind:
+                    chars[kind] += n
+            start = end
+        k = max(k, last)
     # an error page or notice is one only if it makes up the body; template and filler lines are wrong anywhere
     page = chars["error"] + chars["script"]
     residue = sum(chars.values())
+    if not residue:
+        return None, 0.0, 0
+    total = len(_SPACE.sub("", folded))
     if page and residue >= PAGE_SHARE * (total - (_covered(folded, [m.span() for m in _NOTE.finditer(folded)]) if residue < total else 0)):
         kind = "error" if chars["error"] >= chars["script"] else "script"
     elif chars["template"]:
@@ -134,14 +189,14 @@ def score_text(text: str | None) -> tuple[str | None, float, int]:
     return kind, residue / total, residue
 
 
-def _cuts(text: str, folded: str) -> list[int]:
-    """Ends of the segments; a full stop ends one before a Han or a capital letter, which only the text before folding shows."""
+def _cuts(text: str, folded: str, base: int = 0) -> list[int]:
+    """Ends of the segments, counted from base; a full stop ends one before a Han or a capital letter, which only the text before folding shows."""
     cuts = []
     for m in _SPLIT.finditer(folded):
         at = m.end() if m.group() else m.start()
         if not m.group() and folded[at - 1] == "." and text[at + (folded[at] == " ")].islower():
             continue
-        cuts.append(at)
+        cuts.append(base + at)
     return cuts
 
 
@@ -152,6 +207,9 @@ def _segment(s: str, start: int, end: int, hits: list, fields: list) -> tuple[st
     size = len(_SPACE.sub("", body))
     if not size:
         return None, 0
+    if not fields and all(k == "hint" for _, _, k in hits):
+        form = _form(seg) if size <= LONGEST_FORM else None
+        return (form, size) if form else (None, 0)
     if any(k == "latin" for _, _, k in hits):
         hits = [x for x in hits if x[2] != "latin"] + _latin(s, start, end)
     loose = [(a, b) for a, b in fields if not (a > 0 and s[a - 1] in QUOTES) and not (b < len(s) and s[b : b + 1] in QUOTES and s[b : b + 1])]
@@ -161,15 +219,30 @@ def _segment(s: str, start: int, end: int, hits: list, fields: list) -> tuple[st
         if loose or covered >= 0.5 * size:
             return "template", size
     real = [x for x in hits if x[2] in ("error", "script", "filler")]
+    form = _form(seg) if any(k == "hint" or k in FORMS for _, _, k in hits) else None
+    if form and not real:
+        return form, size
     if not real or any(0 < a and s[a - 1] in QUOTES for a, _, _ in real):
         return None, 0
     spans = [(a, b) for a, b, _ in real] + [(start + m.start(), start + m.end()) for m in _NOTE.finditer(seg)]
     if _covered(s, spans) < SEGMENT_SHARE * size:
-        return None, 0
+        return (form, size) if form else (None, 0)
     by = {k: _covered(s, [(a, b) for a, b, x in real if x == k]) for k in ("error", "script", "filler")}
     return max(by, key=lambda k: by[k]), size
 
 
+def _form(seg: str) -> str | None:
+    """The kind whose general form covers the segment; none if it is quoted or speaks about placeholders."""
+    body = _TAIL.sub("", seg).strip(" 。.!?;,、 ")
+    if not body or body[0] in QUOTES or MENTION.search(seg):
+        return None
+    for kind, form in FORMS.items():
+        m = form.match(body)
+        if m and (m.end() >= 0.85 * len(body) if kind != "template" else m.end() == len(body)):
+            return kind
+    return None
+
+
 def _latin(s: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """The words of placeholder Latin in one segment, in any order, as filler; none if there are too few."""
     words = [(m.start(), m.end(), m.group().rstrip(".,;:")) for m in _WORD.finditer(s, start, end)]
